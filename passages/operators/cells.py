@@ -64,7 +64,8 @@ def _assign(vectors: DataFrame, centers: np.ndarray) -> DataFrame:
             [pa.array(cell, pa.int32()), pa.array(reach, pa.float64())], ["cell", "reach"]
         )
 
-    return vectors.withColumn("__near", nearest_center("embedding")).select(
+    near = nearest_center.asNondeterministic()("embedding")
+    return vectors.withColumn("__near", near).select(
         "id", "embedding", "__near.cell", "__near.reach"
     )
 

@@ -19,6 +19,10 @@ _AT_LINE_END = "(?=\n)"
 _AT_CHARACTER = ""
 
 
+# The Python functions here are deterministic, but are declared otherwise: the optimizer
+# would move a filter on their results below them and so evaluate them twice.
+
+
 class PretokenCounter:
     """Counts pre-tokens with a built-in expression; text stays in the JVM."""
 
@@ -57,7 +61,7 @@ class PythonCounter:
                     pa.list_(pa.int32()),
                 )
 
-        return count(pieces)
+        return count.asNondeterministic()(pieces)
 
 
 def _spans(counts: np.ndarray, size: int, overlap: int) -> tuple[list[int], list[int]]:
@@ -102,7 +106,7 @@ def _span_column(counts: Column, size: int, overlap: int) -> Column:
         )
         return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), found)
 
-    return spans(counts)
+    return spans.asNondeterministic()(counts)
 
 
 def _split_long(pieces: Column, counts: Column, size: int, pattern: str) -> Column:
@@ -164,7 +168,8 @@ def token_passages(
     stripped = strip(F.col(text))
     single = F.when((F.col(text) != "") & (stripped == ""), F.array().cast("array<string>"))
     return df.withColumn(
-        output, F.when(fits, single.otherwise(F.array(stripped))).otherwise(grouped)
+        output,
+        F.when(fits, single.otherwise(F.array(stripped))).when(F.col(text).isNotNull(), grouped),
     ).drop("__whole", "__pieces", "__counts", "__spans")
 
 

@@ -55,7 +55,8 @@ def add_embedding(
             known = batch.is_valid().to_pylist()
             yield pa.array([next(found) if k else None for k in known], pa.list_(pa.float32()))
 
-    return df.withColumn(output, embed(F.col(text)))
+    # Not deterministic, so that a later filter on the vectors does not call it again.
+    return df.withColumn(output, embed.asNondeterministic()(F.col(text)))
 
 
 def failed_embeddings(df: DataFrame, embedding: str = "embedding") -> DataFrame:
@@ -106,7 +107,8 @@ def add_lexical_embedding(
         vectors = _unit_counts(batch.flatten().to_numpy(zero_copy_only=False), row, rows, dim)
         return _vector_array(vectors, known)
 
-    return df.withColumn(output, count(word_buckets(F.col(text), dim)))
+    once = count.asNondeterministic()
+    return df.withColumn(output, once(word_buckets(F.col(text), dim)))
 
 
 def lexical_model(dim: int) -> Model:

@@ -71,4 +71,5 @@ def add_answer(
         for batch in batches:
             yield pa.array(list(model(batch.to_pylist())), pa.string())
 
-    return df.withColumn(output, answer(F.col(prompt)))
+    # Not deterministic, so that a later filter on the answers does not ask again.
+    return df.withColumn(output, answer.asNondeterministic()(F.col(prompt)))

@@ -67,19 +67,23 @@ class Params:
     chat: ChatParams
 
 
+def _value(kind, field, value):
+    """The value as the field's type; text is not taken for a number or the reverse."""
+    expected = field.type if field.type in (int, float) else str
+    if expected is float and type(value) is int:
+        value = float(value)
+    if type(value) is not expected:
+        raise ValueError(f"{kind.__name__}.{field.name}: {value!r} is not {expected.__name__}")
+    return value
+
+
 def _section(kind, values: dict):
-    """Known settings of a section, each as its declared type; others are ignored."""
-    known = {}
-    for field in fields(kind):
-        value = values.get(field.name)
-        if value is None:
-            continue
-        if field.type in (int, float) and not isinstance(value, bool):
-            value = field.type(value)
-        expected = str if field.type not in (int, float) else field.type
-        if not isinstance(value, expected) or isinstance(value, bool):
-            raise ValueError(f"{kind.__name__}.{field.name}: {value!r} is not {expected.__name__}")
-        known[field.name] = value
+    """Known settings of a section; others are ignored, and null stands for the default."""
+    known = {
+        field.name: _value(kind, field, values[field.name])
+        for field in fields(kind)
+        if values.get(field.name) is not None
+    }
     try:
         return kind(**known)
     except TypeError as error:
