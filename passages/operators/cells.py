@@ -23,6 +23,8 @@ from passages.operators.hits import ranked
 from passages.sources.checkpoints import materialised
 
 MAX_CELLS = 4096
+# The centres go to every task.
+CENTER_BYTES = 32 << 20
 # Vectors per centre that the centres are fitted on. The result does not depend on it.
 FIT_ROWS_PER_CELL = 64
 # Bytes of vectors, and rows of questions, that meet in one task.
@@ -82,7 +84,7 @@ def fit_cells(
     n_rows = vectors.count()
     if n_cells is None:
         n_cells = int(np.sqrt(n_rows))
-    n_cells = max(1, min(n_cells, MAX_CELLS, n_rows or 1))
+    n_cells = max(1, min(n_cells, MAX_CELLS, CENTER_BYTES // (8 * dim), n_rows or 1))
     if n_rows == 0:
         centers = np.zeros((1, dim))
     elif n_cells == 1:

@@ -43,7 +43,7 @@ class PythonCounter:
         self.make_tokenizer = make_tokenizer
 
     def text(self, text: Column) -> Column:
-        return F.element_at(self.pieces(F.when(text.isNotNull(), F.array(text))), 1)
+        return self.pieces(F.when(text.isNotNull(), F.array(text)))[0]
 
     def pieces(self, pieces: Column) -> Column:
         make_tokenizer = self.make_tokenizer
@@ -118,7 +118,7 @@ def _split_long(pieces: Column, counts: Column, size: int, pattern: str) -> Colu
             lambda piece, n: F.when(n > size, F.split(piece, pattern)).otherwise(F.array(piece)),
         )
     )
-    return F.when(F.exists(counts, lambda n: n > size), split)
+    return F.when(F.array_max(counts) > size, split)
 
 
 def token_passages(
@@ -139,13 +139,11 @@ def token_passages(
     if not 0 <= chunk_overlap < size:
         raise ValueError("chunk_overlap must be at least 0 and below chunk_size - 2")
     counter = counter or PretokenCounter()
-    whole, pieces, counts, spans = (F.col(f"__{n}") for n in ("whole", "pieces", "counts", "spans"))
-    fits = whole <= size
+    fits, pieces, counts, spans = (F.col(f"__{n}") for n in ("fits", "pieces", "counts", "spans"))
 
     # A text that fits as a whole is one piece, whatever its parts add up to.
-    df = df.withColumn("__whole", counter.text(F.col(text))).withColumn(
-        "__pieces", F.when(~fits, F.split(text, _AT_BLANK))
-    )
+    df = df.withColumn("__fits", counter.text(F.col(text)) <= size)
+    df = df.withColumn("__pieces", F.when(~fits, F.split(text, _AT_BLANK)))
     df = df.withColumn("__counts", counter.pieces(pieces))
     for pattern in (_AT_LINE_END, _AT_CHARACTER):
         df = df.withColumn("__split", _split_long(pieces, counts, size, pattern))
@@ -170,7 +168,7 @@ def token_passages(
     return df.withColumn(
         output,
         F.when(fits, single.otherwise(F.array(stripped))).when(F.col(text).isNotNull(), grouped),
-    ).drop("__whole", "__pieces", "__counts", "__spans")
+    ).drop("__fits", "__pieces", "__counts", "__spans")
 
 
 def word_passages(

@@ -13,8 +13,9 @@ import pyarrow.compute as pc
 DECIMALS = 6
 # A vector whose distance exceeds a bound by no more than this may round to it.
 ROUNDING = 10.0**-DECIMALS
-# Distances held at once.
-_TILE = 1 << 22
+# Distances held at once, and rows that are scored first.
+_TILE = 1 << 20
+_HEAD = 1024
 
 _ORDER = [("query", "ascending"), ("distance", "ascending"), ("id", "ascending")]
 
@@ -39,11 +40,25 @@ def _leading(group: np.ndarray, k: int) -> np.ndarray:
     return np.arange(len(group)) - np.repeat(first, lengths) < k
 
 
+def _copies_beyond(vectors: np.ndarray, k: int) -> np.ndarray:
+    """Rows left when of equal vectors only the first k are kept."""
+    rows = np.ascontiguousarray(vectors)
+    rows = rows.view(np.dtype((np.void, rows.itemsize * rows.shape[1]))).ravel()
+    distinct, group = np.unique(rows, return_inverse=True)
+    if len(distinct) == len(rows):
+        return np.arange(len(rows))
+    order = np.argsort(group, kind="stable")
+    return np.sort(order[_leading(group[order], k)])
+
+
 class Best:
     """The k best vectors seen so far for each question of a block."""
 
     def __init__(self, questions: np.ndarray, k: int, id_type: pa.DataType, bounds=None):
-        self.questions, self.k = questions, k
+        self.k = k
+        # One product gives the distances less the question's own square.
+        self.factors = np.hstack([-2.0 * questions, np.ones((len(questions), 1))])
+        self.squares = (questions * questions).sum(axis=1)
         # Distances above a question's bound cannot be among its k best.
         self.bounds = np.full(len(questions), np.inf) if bounds is None else bounds.copy()
         self.found = pa.table(
@@ -55,20 +70,33 @@ class Best:
         )
 
     def add(self, ids: pa.Array, vectors: np.ndarray) -> None:
-        if not len(vectors):
+        if not len(vectors) or not len(self.squares):
             return
         # In order of id, so that among equal distances the first columns are kept.
         order = pc.sort_indices(ids).to_numpy()
-        vectors = vectors[order]
+        kept = _copies_beyond(vectors[order], self.k)
+        order = order[kept]
+        ids, vectors = ids.take(pa.array(order)), vectors[order]
+        # A few rows first: they bound the distances that the others must beat.
+        head = max(_HEAD, self.k) if np.isinf(self.bounds).any() else 0
+        for part in (slice(0, head), slice(head, None)):
+            if len(vectors[part]):
+                self._score(ids[part], vectors[part])
+
+    def _score(self, ids: pa.Array, vectors: np.ndarray) -> None:
+        factors = np.hstack([vectors, (vectors * vectors).sum(axis=1, keepdims=True)]).T
         rows, columns, distances = [], [], []
         tile = max(1, _TILE // len(vectors))
-        for start in range(0, len(self.questions), tile):
-            d = squared_distances(self.questions[start : start + tile], vectors)
-            bound = self.bounds[start : start + tile]
+        for start in range(0, len(self.squares), tile):
+            d = self.factors[start : start + tile] @ factors
+            square = self.squares[start : start + tile]
+            bound = self.bounds[start : start + tile] - square
             if np.isinf(bound).any() and d.shape[1] >= self.k:
                 bound = np.minimum(bound, np.partition(d, self.k - 1, axis=1)[:, self.k - 1])
-            row, column = np.nonzero(d <= bound[:, None] + ROUNDING)
-            value = np.round(d[row, column], DECIMALS)
+            row, column = np.divmod(
+                np.flatnonzero(d <= bound[:, None] + ROUNDING), d.shape[1]
+            )
+            value = np.round(np.maximum(d[row, column] + square[row], 0.0), DECIMALS)
             best = np.lexsort((column, value, row))
             best = best[_leading(row[best], self.k)]
             rows.append(row[best] + start)
@@ -80,7 +108,7 @@ class Best:
                 {
                     "query": pa.array(np.concatenate(rows), pa.int64()),
                     "distance": pa.array(np.concatenate(distances), pa.float64()),
-                    "id": ids.take(pa.array(order[columns])),
+                    "id": ids.take(pa.array(columns)),
                 }
             )
             self._merge(fresh)
@@ -89,8 +117,8 @@ class Best:
         merged = pa.concat_tables([self.found, fresh]).sort_by(_ORDER)
         merged = merged.filter(pa.array(_leading(merged["query"].to_numpy(), self.k)))
         query, distance = merged["query"].to_numpy(), merged["distance"].to_numpy()
-        full = np.bincount(query, minlength=len(self.questions)) >= self.k
-        worst = np.zeros(len(self.questions))
+        full = np.bincount(query, minlength=len(self.squares)) >= self.k
+        worst = np.zeros(len(self.squares))
         np.maximum.at(worst, query, distance)
         self.bounds = np.where(full, np.minimum(self.bounds, worst), self.bounds)
         self.found = merged
