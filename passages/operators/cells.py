@@ -47,7 +47,7 @@ class Cells:
 def _fit_centers(vectors: DataFrame, n_cells: int, n_rows: int, seed: int) -> np.ndarray:
     fraction = min(1.0, n_cells * FIT_ROWS_PER_CELL / max(n_rows, 1))
     sample = vectors.sample(fraction=fraction, seed=seed) if fraction < 1 else vectors
-    model = KMeans(k=n_cells, maxIter=5, initSteps=1, seed=seed).fit(
+    model = KMeans(k=n_cells, maxIter=5, initMode="random", seed=seed).fit(
         sample.select(array_to_vector("embedding").alias("features"))
     )
     return np.array(model.clusterCenters())

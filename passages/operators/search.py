@@ -3,6 +3,7 @@
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -11,17 +12,26 @@ from passages.operators import nearest
 from passages.operators.cells import Cells, fit_cells, search_cells
 from passages.operators.embedding import valid_embeddings
 from passages.operators.hits import hit_schema, ranked
+from passages.sources.checkpoints import materialised
 
 # Questions are sent to every task only up to this size; more go by cells.
 BROADCAST_BYTES = 32 << 20
+# So many questions are fetched before their size is known.
+FEW = 1024
 # What a question takes besides its vector, and what a hit takes.
 ID_BYTES = 64
 HIT_BYTES = 128
 
 
-def dimension(vectors: DataFrame) -> int | None:
-    row = vectors.where("embedding is not null").select(F.size("embedding")).first()
-    return row[0] if row else None
+def dimension(vectors: pa.Table) -> int | None:
+    """Length of the vectors that come first and are not null."""
+    known = vectors["embedding"].drop_null()
+    return len(known[0]) if len(known) else None
+
+
+def _valid(questions: pa.Table, dim: int) -> pa.Table:
+    lengths = pc.list_value_length(questions["embedding"])
+    return questions.filter(pc.fill_null(pc.equal(lengths, dim), False))
 
 
 def scan_nearest(questions: pa.Table, vectors: DataFrame, k: int, schema: StructType) -> DataFrame:
@@ -59,26 +69,33 @@ def nearest_passages(
     """``query_id, id, distance, rank`` of the k nearest vectors of each question.
 
     ``questions(query_id, embedding)`` and ``vectors(id, embedding)`` have unique ids.
-    Questions that fit ``broadcast_bytes`` go to every task of one scan. Beyond it,
-    questions meet vectors cell by cell (see ``cells``), with the same result. Vectors
+    Questions that fit ``broadcast_bytes`` go to every task of one scan. Beyond it, or
+    with ``cells``, questions meet vectors cell by cell, with the same result. Vectors
     that are null or of another length than the questions' are passed over.
+
+    The questions are computed here, when the plan is made, and only once if they are
+    few, so that a model that embeds them is not called again.
     """
+    schema = hit_schema(questions, vectors)
     # Renewed, as questions and vectors may be columns of one table.
     questions = questions.select(
         F.col("query_id").alias("query_id"), F.col("embedding").alias("embedding")
-    )
-    schema = hit_schema(questions, vectors)
-    dim = dimension(questions)
+    ).where("embedding is not null")
+    found = questions.limit(FEW + 1).toArrow()
+    dim = dimension(found)
     if dim is None:
         return ranked(vectors.sparkSession.createDataFrame([], schema), k)
-    questions = valid_embeddings(questions, dim)
+
+    limit = broadcast_bytes // (8 * dim + ID_BYTES)
+    if found.num_rows > FEW or found.num_rows > limit or cells is not None:
+        questions = materialised(valid_embeddings(questions, dim))
+        found = questions.limit(limit + 1).toArrow()
+    if found.num_rows <= limit and cells is None:
+        found = _valid(found, dim)
+        hits = scan_nearest(found, vectors, k, schema)
+        # So few hits go to every task when they are joined to the passages.
+        small = found.num_rows * k * HIT_BYTES <= broadcast_bytes
+        return F.broadcast(hits) if small else hits
     if cells is None:
-        limit = broadcast_bytes // (8 * dim + ID_BYTES)
-        few = questions.limit(limit + 1).toArrow()
-        if few.num_rows <= limit:
-            hits = scan_nearest(few, vectors, k, schema)
-            # So few hits go to every task when they are joined to the passages.
-            small = few.num_rows * k * HIT_BYTES <= broadcast_bytes
-            return F.broadcast(hits) if small else hits
         cells = fit_cells(valid_embeddings(vectors, dim), dim)
     return ranked(search_cells(questions, cells, k, schema), k)

@@ -158,3 +158,25 @@ def test_last_of_repeated_ids_counts(spark):
     )
     rows = retrieved(hits, passages, FIELDS, last_by=["version"]).orderBy("rank").collect()
     assert [r["content"] for r in rows] == ["new", "only"]
+
+
+def test_model_embeds_few_questions_once(spark, grid, tmp_path):
+    from passages.operators.embedding import add_embedding
+
+    folder = str(tmp_path)
+
+    def make():
+        import tempfile
+
+        def embed(texts):
+            for text in texts:
+                tempfile.mkstemp(prefix=f"{text}-", dir=folder)
+            return [[float(t), 1.0, 2.0] for t in texts]
+
+        return embed
+
+    asked = spark.range(4, numPartitions=2).selectExpr("id AS query_id", "cast(id AS string) AS t")
+    questions = add_embedding(asked, make, text="t")
+    vectors = _frame(spark, "id", grid[2], grid[3])
+    assert nearest_passages(questions, vectors, 3).count() == 12
+    assert len(list(tmp_path.iterdir())) == 4
