@@ -30,8 +30,10 @@ FIT_ROWS_PER_CELL = 64
 # Bytes of vectors, and rows of questions, that meet in one task.
 BLOCK_BYTES = 64 << 20
 BLOCK_QUESTIONS = 8192
-# Slack for the rounding of distances and of square roots.
+# Slack for the rounding of distances, and, as a share of the lengths of the vectors
+# they are taken between, for the square roots of products.
 _SLACK = 2 * nearest.ROUNDING
+_ROOT_ERROR = 2 * nearest.PRODUCT_ERROR**0.5
 
 
 @dataclass(frozen=True)
@@ -44,9 +46,16 @@ class Cells:
     radii: np.ndarray
 
 
-def _fit_centers(vectors: DataFrame, n_cells: int, n_rows: int, seed: int) -> np.ndarray:
+def _fit_centers(
+    vectors: DataFrame, dim: int, n_cells: int, n_rows: int, seed: int
+) -> np.ndarray:
     fraction = min(1.0, n_cells * FIT_ROWS_PER_CELL / max(n_rows, 1))
     sample = vectors.sample(fraction=fraction, seed=seed) if fraction < 1 else vectors
+    sample = sample.where(
+        F.forall("embedding", lambda x: x.isNotNull() & (F.abs(x) < float("inf")))
+    )
+    if sample.isEmpty():
+        return np.zeros((1, dim))
     model = KMeans(k=n_cells, maxIter=5, initMode="random", seed=seed).fit(
         sample.select(array_to_vector("embedding").alias("features"))
     )
@@ -62,13 +71,17 @@ def _assign(vectors: DataFrame, centers: np.ndarray) -> DataFrame:
         distances = nearest.squared_distances(values, shared.value)
         cell = distances.argmin(axis=1)
         reach = np.sqrt(distances[np.arange(len(cell)), cell])
+        unusable = ~nearest.finite(values)
         return pa.StructArray.from_arrays(
-            [pa.array(cell, pa.int32()), pa.array(reach, pa.float64())], ["cell", "reach"]
+            [pa.array(cell, pa.int32(), mask=unusable), pa.array(reach, pa.float64())],
+            ["cell", "reach"],
         )
 
     near = nearest_center.asNondeterministic()("embedding")
-    return vectors.withColumn("__near", near).select(
-        "id", "embedding", "__near.cell", "__near.reach"
+    return (
+        vectors.withColumn("__near", near)
+        .select("id", "embedding", "__near.cell", "__near.reach")
+        .where("cell is not null")
     )
 
 
@@ -84,13 +97,11 @@ def fit_cells(
     n_rows = vectors.count()
     if n_cells is None:
         n_cells = int(np.sqrt(n_rows))
-    n_cells = max(1, min(n_cells, MAX_CELLS, CENTER_BYTES // (8 * dim), n_rows or 1))
-    if n_rows == 0:
-        centers = np.zeros((1, dim))
-    elif n_cells == 1:
-        centers = np.array([vectors.first()["embedding"]], dtype=np.float64)
-    else:
-        centers = _fit_centers(vectors, n_cells, n_rows, seed)
+    n_cells = max(1, min(n_cells, MAX_CELLS, CENTER_BYTES // (8 * dim), n_rows))
+    # Any centre serves a single cell, and k-means wants two at least.
+    centers = np.zeros((1, dim))
+    if n_cells > 1:
+        centers = _fit_centers(vectors, dim, n_cells, n_rows, seed)
     assigned = materialised(_assign(vectors, centers))
     sizes, radii = np.zeros(len(centers), np.int64), np.zeros(len(centers))
     # One row per cell, at most MAX_CELLS.
@@ -112,13 +123,15 @@ def _with_visits(questions: DataFrame, cells: Cells, first: int, rest: bool) ->
     @F.arrow_udf("array<int>")
     def to_visit(embedding: pa.Array, bound: pa.Array) -> pa.Array:
         centers, sizes, radii = shared.value
-        distances = np.sqrt(
-            nearest.squared_distances(nearest.matrix(embedding, centers.shape[1]), centers)
-        )
+        questions = nearest.matrix(embedding, centers.shape[1])
+        distances = np.sqrt(nearest.squared_distances(questions, centers))
         distances[:, sizes == 0] = np.inf
         order = np.argsort(distances, axis=1, kind="stable")
         if rest:
-            gap = np.maximum(distances - radii - _SLACK, 0.0)
+            lengths = np.linalg.norm(questions, axis=1) + radii.max()
+            lengths += 2 * np.linalg.norm(centers, axis=1).max()
+            gap = distances - radii - _SLACK - _ROOT_ERROR * lengths[:, None]
+            gap = np.maximum(gap, 0.0)
             reachable = gap**2 <= bound.to_numpy(zero_copy_only=False)[:, None] + _SLACK
             wanted = np.take_along_axis(reachable, order, axis=1)
             wanted[:, :first] = False

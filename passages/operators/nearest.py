@@ -1,7 +1,8 @@
 """Scoring of one block of vectors against one block of questions.
 
 Squared L2 distances, rounded; equal distances are ordered by id. Only the best k
-per question leave a block, never the scored pairs.
+per question leave a block, never the scored pairs. A matrix product finds the
+candidates and the differences of the vectors give their distances.
 """
 
 from collections.abc import Iterable
@@ -13,9 +14,14 @@ import pyarrow.compute as pc
 DECIMALS = 6
 # A vector whose distance exceeds a bound by no more than this may round to it.
 ROUNDING = 10.0**-DECIMALS
-# Distances held at once, and rows that are scored first.
+# Error of a distance by the product, as a share of the squares it is made of.
+PRODUCT_ERROR = 1e-13
+# Distances held at once, rows that are scored first, candidates measured at once.
 _TILE = 1 << 20
 _HEAD = 1024
+_MEASURED = 1 << 15
+# Candidates per question, as a multiple of k, from which bounds count as loose.
+_CROWDED = 4
 
 _ORDER = [("query", "ascending"), ("distance", "ascending"), ("id", "ascending")]
 
@@ -28,6 +34,11 @@ def matrix(vectors: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
     return flat.astype(np.float64).reshape(-1, dim)
 
 
+def finite(vectors: np.ndarray) -> np.ndarray:
+    """Mask of the rows without a missing or infinite number."""
+    return np.isfinite(vectors).all(axis=1)
+
+
 def squared_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     d = (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None, :] - 2.0 * (a @ b.T)
     return np.maximum(d, 0.0)
@@ -56,6 +67,7 @@ class Best:
 
     def __init__(self, questions: np.ndarray, k: int, id_type: pa.DataType, bounds=None):
         self.k = k
+        self.questions = questions
         # One product gives the distances less the question's own square.
         self.factors = np.hstack([-2.0 * questions, np.ones((len(questions), 1))])
         self.squares = (questions * questions).sum(axis=1)
@@ -70,7 +82,10 @@ class Best:
         )
 
     def add(self, ids: pa.Array, vectors: np.ndarray) -> None:
-        if not len(vectors) or not len(self.squares):
+        usable = finite(vectors)
+        if not usable.all():
+            ids, vectors = ids.filter(pa.array(usable)), vectors[usable]
+        if not len(vectors) or not len(self.questions):
             return
         # In order of id, so that among equal distances the first columns are kept.
         order = pc.sort_indices(ids).to_numpy()
@@ -84,22 +99,26 @@ class Best:
                 self._score(ids[part], vectors[part])
 
     def _score(self, ids: pa.Array, vectors: np.ndarray) -> None:
-        factors = np.hstack([vectors, (vectors * vectors).sum(axis=1, keepdims=True)]).T
+        squares = (vectors * vectors).sum(axis=1, keepdims=True)
+        factors = np.hstack([vectors, squares]).T
         rows, columns, distances = [], [], []
         tile = max(1, _TILE // len(vectors))
-        for start in range(0, len(self.squares), tile):
+        for start in range(0, len(self.questions), tile):
             d = self.factors[start : start + tile] @ factors
             square = self.squares[start : start + tile]
-            bound = self.bounds[start : start + tile] - square
-            if np.isinf(bound).any() and d.shape[1] >= self.k:
-                bound = np.minimum(bound, np.partition(d, self.k - 1, axis=1)[:, self.k - 1])
-            row, column = np.divmod(
-                np.flatnonzero(d <= bound[:, None] + ROUNDING), d.shape[1]
-            )
-            value = np.round(np.maximum(d[row, column] + square[row], 0.0), DECIMALS)
+            slack = ROUNDING + PRODUCT_ERROR * (square + squares.max())
+            cut = self.bounds[start : start + tile] - square + slack
+            near = np.flatnonzero(d <= cut[:, None])
+            if len(near) > _CROWDED * self.k * len(d) and d.shape[1] > self.k:
+                # The bounds are loose here; those within this block may be closer.
+                kth = np.partition(d, self.k - 1, axis=1)[:, self.k - 1]
+                near = np.flatnonzero(d <= np.minimum(cut, kth + 2 * slack)[:, None])
+            row, column = np.divmod(near, d.shape[1])
+            row += start
+            value = self._measure(row, vectors, column)
             best = np.lexsort((column, value, row))
             best = best[_leading(row[best], self.k)]
-            rows.append(row[best] + start)
+            rows.append(row[best])
             columns.append(column[best])
             distances.append(value[best])
         columns = np.concatenate(columns)
@@ -113,12 +132,20 @@ class Best:
             )
             self._merge(fresh)
 
+    def _measure(self, row: np.ndarray, vectors: np.ndarray, column: np.ndarray) -> np.ndarray:
+        measured = np.empty(len(row))
+        for i in range(0, len(row), _MEASURED):
+            part = slice(i, i + _MEASURED)
+            gaps = self.questions[row[part]] - vectors[column[part]]
+            measured[part] = np.einsum("ij,ij->i", gaps, gaps)
+        return np.round(measured, DECIMALS)
+
     def _merge(self, fresh: pa.Table) -> None:
         merged = pa.concat_tables([self.found, fresh]).sort_by(_ORDER)
         merged = merged.filter(pa.array(_leading(merged["query"].to_numpy(), self.k)))
         query, distance = merged["query"].to_numpy(), merged["distance"].to_numpy()
-        full = np.bincount(query, minlength=len(self.squares)) >= self.k
-        worst = np.zeros(len(self.squares))
+        full = np.bincount(query, minlength=len(self.questions)) >= self.k
+        worst = np.zeros(len(self.questions))
         np.maximum.at(worst, query, distance)
         self.bounds = np.where(full, np.minimum(self.bounds, worst), self.bounds)
         self.found = merged

@@ -31,7 +31,8 @@ def dimension(vectors: pa.Table) -> int | None:
 
 def _valid(questions: pa.Table, dim: int) -> pa.Table:
     lengths = pc.list_value_length(questions["embedding"])
-    return questions.filter(pc.fill_null(pc.equal(lengths, dim), False))
+    questions = questions.filter(pc.fill_null(pc.equal(lengths, dim), False))
+    return questions.filter(pa.array(nearest.finite(nearest.matrix(questions["embedding"], dim))))
 
 
 def scan_nearest(questions: pa.Table, vectors: DataFrame, k: int, schema: StructType) -> DataFrame:
@@ -71,10 +72,11 @@ def nearest_passages(
     ``questions(query_id, embedding)`` and ``vectors(id, embedding)`` have unique ids.
     Questions that fit ``broadcast_bytes`` go to every task of one scan. Beyond it, or
     with ``cells``, questions meet vectors cell by cell, with the same result. Vectors
-    that are null or of another length than the questions' are passed over.
+    that are null, of another length than the questions' or not finite are passed over.
 
     The questions are computed here, when the plan is made, and only once if they are
-    few, so that a model that embeds them is not called again.
+    few, so that a model that embeds them is not called again. The vectors should come
+    from a table: the scan reads them once, the way by cells several times.
     """
     schema = hit_schema(questions, vectors)
     # Renewed, as questions and vectors may be columns of one table.

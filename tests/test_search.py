@@ -85,6 +85,24 @@ def test_vectors_that_cannot_be_searched(spark):
         assert [(r[0], r[1]) for r in _rows(hits)] == [(2, "c"), (2, "e")]
 
 
+def test_vectors_that_are_not_finite(spark):
+    infinite, missing = float("inf"), float("nan")
+    vectors = [[1.0, missing], [infinite, 0.0], [1.0, 1.0], [3.0, 3.0]]
+    questions = [[0.0, 0.0], [missing, 0.0], [infinite, 0.0]]
+    for options in ({}, {"broadcast_bytes": 0}):
+        hits = _search(spark, ([1, 2, 3], questions, list("abcd"), vectors), 5, **options)
+        assert [(r[0], r[1]) for r in _rows(hits)] == [(1, "c"), (1, "d")]
+
+
+def test_small_distances_between_long_vectors(spark):
+    draw = np.random.default_rng(4)
+    vectors = 1e5 + draw.integers(0, 40, size=(300, 4)).astype(float)
+    questions = vectors[:10] + 1
+    data = (list(range(10)), questions, list(range(300)), vectors)
+    for options in ({}, {"broadcast_bytes": 0}):
+        assert _rows(_search(spark, data, 5, **options)) == sorted(brute_force(*data, 5))
+
+
 def test_nothing_to_search(spark):
     some = _frame(spark, "query_id", [1], [[1.0]])
     none = _frame(spark, "id", [1], [None])
