@@ -7,7 +7,6 @@ cannot if the distance to its centre, less the cell's radius, exceeds the bound.
 the result is exact, and the number of cells visited first only sets the cost.
 """
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -67,10 +66,13 @@ def _assign(vectors: DataFrame, centers: np.ndarray) -> DataFrame:
 
     @F.arrow_udf("struct<cell:int,reach:double>")
     def nearest_center(embedding: pa.Array) -> pa.Array:
-        values = nearest.matrix(embedding, shared.value.shape[1])
-        distances = nearest.squared_distances(values, shared.value)
-        cell = distances.argmin(axis=1)
-        reach = np.sqrt(distances[np.arange(len(cell)), cell])
+        centers = shared.value
+        values = nearest.matrix(embedding, centers.shape[1])
+        cell, reach = np.zeros(len(values), np.int32), np.zeros(len(values))
+        for tile in nearest.tiles(len(values), len(centers)):
+            distances = nearest.squared_distances(values[tile], centers)
+            cell[tile] = distances.argmin(axis=1)
+            reach[tile] = np.sqrt(distances.min(axis=1))
         unusable = ~nearest.finite(values)
         return pa.StructArray.from_arrays(
             [pa.array(cell, pa.int32(), mask=unusable), pa.array(reach, pa.float64())],
@@ -105,11 +107,32 @@ def fit_cells(
     assigned = materialised(_assign(vectors, centers))
     sizes, radii = np.zeros(len(centers), np.int64), np.zeros(len(centers))
     # One row per cell, at most MAX_CELLS.
-    for row in assigned.groupBy("cell").agg(F.count("*").alias("n"), F.max("reach").alias("r")).collect():
+    extent = assigned.groupBy("cell").agg(F.count("*").alias("n"), F.max("reach").alias("r"))
+    for row in extent.collect():
         sizes[row["cell"]], radii[row["cell"]] = row["n"], row["r"]
     return Cells(assigned.select("id", "embedding", "cell"), centers, sizes, radii)
 
 
+def _wanted(questions: np.ndarray, bounds: np.ndarray, extent, first: int, rest: bool):
+    """For each question the cells to visit, as counts and their numbers in a row."""
+    centers, sizes, radii = extent
+    distances = np.sqrt(nearest.squared_distances(questions, centers))
+    distances[:, sizes == 0] = np.inf
+    order = np.argsort(distances, axis=1, kind="stable")
+    usable = np.isfinite(np.take_along_axis(distances, order, axis=1))
+    if rest:
+        lengths = np.linalg.norm(questions, axis=1) + radii.max()
+        lengths += 2 * np.linalg.norm(centers, axis=1).max()
+        gap = np.maximum(distances - radii - _SLACK - _ROOT_ERROR * lengths[:, None], 0.0)
+        wanted = np.take_along_axis(gap**2 <= bounds[:, None] + _SLACK, order, axis=1)
+        wanted[:, :first] = False
+    else:
+        wanted = np.zeros(order.shape, bool)
+        wanted[:, :first] = True
+    wanted &= usable
+    return wanted.sum(axis=1), order[wanted]
+
+
 def _with_visits(questions: DataFrame, cells: Cells, first: int, rest: bool) -> DataFrame:
     """One row per question and cell to visit, with the bound found so far.
 
@@ -122,26 +145,17 @@ def _with_visits(questions: DataFrame, cells: Cells, first: int, rest: bool) ->
 
     @F.arrow_udf("array<int>")
     def to_visit(embedding: pa.Array, bound: pa.Array) -> pa.Array:
-        centers, sizes, radii = shared.value
-        questions = nearest.matrix(embedding, centers.shape[1])
-        distances = np.sqrt(nearest.squared_distances(questions, centers))
-        distances[:, sizes == 0] = np.inf
-        order = np.argsort(distances, axis=1, kind="stable")
-        if rest:
-            lengths = np.linalg.norm(questions, axis=1) + radii.max()
-            lengths += 2 * np.linalg.norm(centers, axis=1).max()
-            gap = distances - radii - _SLACK - _ROOT_ERROR * lengths[:, None]
-            gap = np.maximum(gap, 0.0)
-            reachable = gap**2 <= bound.to_numpy(zero_copy_only=False)[:, None] + _SLACK
-            wanted = np.take_along_axis(reachable, order, axis=1)
-            wanted[:, :first] = False
-        else:
-            wanted = np.zeros(order.shape, bool)
-            wanted[:, :first] = True
-        wanted &= np.isfinite(np.take_along_axis(distances, order, axis=1))
-        offsets = np.r_[0, np.cumsum(wanted.sum(axis=1))]
+        centers = shared.value[0]
+        asked = nearest.matrix(embedding, centers.shape[1])
+        bounds = bound.to_numpy(zero_copy_only=False)
+        counts, numbers = [np.zeros(1, np.int64)], [np.zeros(0, np.int64)]
+        for tile in nearest.tiles(len(asked), len(centers)):
+            n, cell = _wanted(asked[tile], bounds[tile], shared.value, first, rest)
+            counts.append(n)
+            numbers.append(cell)
         return pa.ListArray.from_arrays(
-            pa.array(offsets, pa.int32()), pa.array(order[wanted], pa.int32())
+            pa.array(np.cumsum(np.concatenate(counts)), pa.int32()),
+            pa.array(np.concatenate(numbers), pa.int32()),
         )
 
     return questions.select(

@@ -5,7 +5,7 @@ per question leave a block, never the scored pairs. A matrix product finds the
 candidates and the differences of the vectors give their distances.
 """
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +44,12 @@ def squared_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum(d, 0.0)
 
 
+def tiles(rows: int, columns: int) -> Iterator[slice]:
+    """Slices of rows whose product with the columns is held at once."""
+    step = max(1, _TILE // max(columns, 1))
+    return (slice(start, start + step) for start in range(0, rows, step))
+
+
 def _leading(group: np.ndarray, k: int) -> np.ndarray:
     """Mask of the first k rows of each run of equal values."""
     first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if len(group) else np.array([], int)
@@ -102,19 +108,18 @@ class Best:
         squares = (vectors * vectors).sum(axis=1, keepdims=True)
         factors = np.hstack([vectors, squares]).T
         rows, columns, distances = [], [], []
-        tile = max(1, _TILE // len(vectors))
-        for start in range(0, len(self.questions), tile):
-            d = self.factors[start : start + tile] @ factors
-            square = self.squares[start : start + tile]
+        for tile in tiles(len(self.questions), len(vectors)):
+            d = self.factors[tile] @ factors
+            square = self.squares[tile]
             slack = ROUNDING + PRODUCT_ERROR * (square + squares.max())
-            cut = self.bounds[start : start + tile] - square + slack
+            cut = self.bounds[tile] - square + slack
             near = np.flatnonzero(d <= cut[:, None])
             if len(near) > _CROWDED * self.k * len(d) and d.shape[1] > self.k:
                 # The bounds are loose here; those within this block may be closer.
                 kth = np.partition(d, self.k - 1, axis=1)[:, self.k - 1]
                 near = np.flatnonzero(d <= np.minimum(cut, kth + 2 * slack)[:, None])
             row, column = np.divmod(near, d.shape[1])
-            row += start
+            row += tile.start
             value = self._measure(row, vectors, column)
             best = np.lexsort((column, value, row))
             best = best[_leading(row[best], self.k)]

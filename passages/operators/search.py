@@ -35,13 +35,14 @@ def _valid(questions: pa.Table, dim: int) -> pa.Table:
     return questions.filter(pa.array(nearest.finite(nearest.matrix(questions["embedding"], dim))))
 
 
-def scan_nearest(questions: pa.Table, vectors: DataFrame, k: int, schema: StructType) -> DataFrame:
+def scan_nearest(
+    questions: pa.Table, vectors: DataFrame, dim: int, k: int, schema: StructType
+) -> DataFrame:
     """One pass over the vectors, with all questions at every task.
 
     Vectors are neither shuffled nor collected; each task returns k hits per question.
     """
     session = vectors.sparkSession
-    dim = len(questions["embedding"][0])
     shared = session.sparkContext.broadcast(
         (questions["query_id"].combine_chunks(), nearest.matrix(questions["embedding"], dim))
     )
@@ -89,12 +90,15 @@ def nearest_passages(
         return ranked(vectors.sparkSession.createDataFrame([], schema), k)
 
     limit = broadcast_bytes // (8 * dim + ID_BYTES)
-    if found.num_rows > FEW or found.num_rows > limit or cells is not None:
+    few = cells is None and found.num_rows <= limit
+    if found.num_rows > FEW or not few:
         questions = materialised(valid_embeddings(questions, dim))
-        found = questions.limit(limit + 1).toArrow()
-    if found.num_rows <= limit and cells is None:
+        if few:
+            found = questions.limit(limit + 1).toArrow()
+            few = found.num_rows <= limit
+    if few:
         found = _valid(found, dim)
-        hits = scan_nearest(found, vectors, k, schema)
+        hits = scan_nearest(found, vectors, dim, k, schema)
         # So few hits go to every task when they are joined to the passages.
         small = found.num_rows * k * HIT_BYTES <= broadcast_bytes
         return F.broadcast(hits) if small else hits

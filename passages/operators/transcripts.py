@@ -10,7 +10,7 @@ VIDEO_COLUMNS = ("channel_id", "video_id", "title", "publish_time")
 # Captions are gathered in two steps, first per stretch of this many seconds and
 # then per video, so that the captions of one very long recording are sorted and
 # joined by many tasks and the last step only strings finished stretches together.
-STRETCH_SECONDS = 600.0
+STRETCH_SECONDS = 3600.0
 
 
 def _stretch(start: Column, seconds: float) -> Column:

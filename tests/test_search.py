@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from passages.operators import cells
+from passages.operators import cells, nearest, search
 from passages.operators.cells import fit_cells, search_cells
 from passages.operators.context import contexts, retrieved
 from passages.operators.embedding import add_embedding
@@ -71,6 +71,24 @@ def test_blocks_of_a_large_and_much_visited_cell(spark, grid, monkeypatch):
     assert _rows(_search(spark, grid, 5, broadcast_bytes=0)) == sorted(brute_force(*grid, 5))
 
 
+def test_small_tiles(grid):
+    """Tiles, the head and crowded bounds, without Spark."""
+    import pyarrow as pa
+
+    query_ids, questions, ids, vectors = grid
+    q, v = questions.astype(np.float32).astype(float), vectors
+    for tile, head, crowded in ((7, 1, 0), (1 << 20, 1024, 4), (50, 64, 1)):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(nearest, "_TILE", tile)
+            patch.setattr(nearest, "_HEAD", head)
+            patch.setattr(nearest, "_CROWDED", crowded)
+            patch.setattr(nearest, "_MEASURED", 11)
+            blocks = [(pa.array(ids[i : i + 90]), v[i : i + 90]) for i in range(0, 600, 90)]
+            found = nearest.best_of(pa.array(query_ids), q, blocks, 5, pa.string())
+        rows = zip(*(found[c].to_pylist() for c in ("query_id", "id", "distance")))
+        assert sorted(rows) == sorted(r[:3] for r in brute_force(*grid, 5))
+
+
 def test_fewer_vectors_than_k(spark):
     data = (["q"], [[0.0, 0.0]], [7, 8], [[1.0, 0.0], [0.0, 2.0]])
     for options in ({}, {"broadcast_bytes": 0}):
@@ -94,6 +112,17 @@ def test_vectors_that_are_not_finite(spark):
         assert [(r[0], r[1]) for r in _rows(hits)] == [(1, "c"), (1, "d")]
 
 
+def test_questions_without_a_finite_vector(spark):
+    data = ([1], [[float("nan"), 0.0]], ["a"], [[1.0, 1.0]])
+    for options in ({}, {"broadcast_bytes": 0}):
+        assert _rows(_search(spark, data, 5, **options)) == []
+
+
+def test_many_questions_that_still_fit_one_scan(spark, grid, monkeypatch):
+    monkeypatch.setattr(search, "FEW", 10)
+    assert _rows(_search(spark, grid, 5)) == sorted(brute_force(*grid, 5))
+
+
 def test_small_distances_between_long_vectors(spark):
     draw = np.random.default_rng(4)
     vectors = 1e5 + draw.integers(0, 40, size=(300, 4)).astype(float)
