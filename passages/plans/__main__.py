@@ -6,7 +6,7 @@ import importlib
 from pyspark.sql import SparkSession
 
 from passages.params import read_params
-from passages.plans.jobs import captions_job, chunk_job, embedding_job
+from passages.plans.jobs import answers_job, captions_job, chunk_job, embedding_job
 from passages.sources.landing import read_captions, read_playlist_pages
 
 
@@ -17,14 +17,25 @@ def _load(reference: str):
 
 def main(arguments: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="passages")
-    parser.add_argument("job", choices=["captions", "chunk", "embedding"])
+    parser.add_argument("job", choices=["captions", "chunk", "embedding", "answers"])
     parser.add_argument("--conf-file", required=True)
     parser.add_argument("--pages", help="captions: landed playlist pages (JSON)")
     parser.add_argument("--captions", help="captions: landed captions (JSON)")
-    parser.add_argument("--model", help="embedding: module:function, endpoint name to model")
+    parser.add_argument(
+        "--model", help="embedding, answers: module:function, endpoint name to embedding model"
+    )
+    parser.add_argument(
+        "--chat", help="answers: module:function, endpoint name, temperature, tokens to chat model"
+    )
+    parser.add_argument("--questions", help="answers: table with query_id and input")
+    parser.add_argument("--format", default="deltaSharing", help="answers: of the vector table")
     options = parser.parse_args(arguments)
-    needed = {"captions": ("pages", "captions"), "embedding": ("model",)}.get(options.job, ())
-    for name in needed:
+    needed = {
+        "captions": ("pages", "captions"),
+        "embedding": ("model",),
+        "answers": ("model", "chat", "questions"),
+    }
+    for name in needed.get(options.job, ()):
         if not getattr(options, name):
             parser.error(f"{options.job} needs --{name}")
 
@@ -36,8 +47,12 @@ def main(arguments: list[str] | None = None) -> None:
         captions_job(spark, params.video_captions, pages, landed).show(truncate=False)
     elif options.job == "chunk":
         chunk_job(spark, params.chunk)
-    else:
+    elif options.job == "embedding":
         embedding_job(spark, params.embedding, _load(options.model))
+    else:
+        questions = spark.read.table(options.questions)
+        embedder, chat = _load(options.model), _load(options.chat)
+        answers_job(spark, params, questions, embedder, chat, options.format)
 
 
 if __name__ == "__main__":

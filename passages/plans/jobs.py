@@ -2,6 +2,7 @@
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from passages.operators.chunking import chunk_content
 from passages.operators.embedding import add_embedding
@@ -11,11 +12,18 @@ from passages.operators.transcripts import (
     transcript_content,
     video_transcripts,
 )
-from passages.params import CaptionsParams, ChunkParams, CommonParams, EmbeddingParams
-from passages.schemas import CONTENT, CONTENT_CHUNKS, CONTENT_CHUNKS_EMBEDDING, TRANSCRIPTS
+from passages.params import CaptionsParams, ChunkParams, CommonParams, EmbeddingParams, Params
+from passages.plans.answers import answer_questions
+from passages.schemas import (
+    ANSWERS,
+    CONTENT,
+    CONTENT_CHUNKS,
+    CONTENT_CHUNKS_EMBEDDING,
+    TRANSCRIPTS,
+)
 from passages.sources.landing import captions_in_language, channel_videos
 from passages.sources.spread import spread
-from passages.sources.tables import qualified_name, read_table, write_table
+from passages.sources.tables import qualified_name, read_shared, read_table, write_table
 
 
 def _read(spark: SparkSession, params: CommonParams, table: str) -> DataFrame:
@@ -62,3 +70,32 @@ def embedding_job(spark: SparkSession, params: EmbeddingParams, make_model) -> N
     chunks = spread(_read(spark, params, "content_chunks"))
     embedded = add_embedding(chunks, lambda: make_model(endpoint))
     _write(spark, params, embedded, CONTENT_CHUNKS_EMBEDDING, "content_chunks_embedding")
+
+
+def answers_job(
+    spark: SparkSession,
+    params: Params,
+    questions: DataFrame,
+    make_embedding_model,
+    make_chat_model,
+    fmt: str = "deltaSharing",
+    **options,
+) -> None:
+    """Answers to ``questions(query_id, input)`` to table ``answers``.
+
+    The vector table is read from the retriever's address. Both models run on the
+    workers: ``make_embedding_model(endpoint_name)`` and
+    ``make_chat_model(endpoint_name, temperature, max_tokens)``.
+    """
+    embedder, chat = params.embedding.endpoint_name, params.chat
+    vectors = read_shared(spark, params.retriever.table_url, fmt)
+    asked = questions.select(F.col("query_id").cast("string").alias("query_id"), "input")
+    embedded = add_embedding(spread(asked), lambda: make_embedding_model(embedder), text="input")
+    answers = answer_questions(
+        embedded,
+        vectors,
+        lambda: make_chat_model(chat.endpoint_name, chat.temperature, chat.max_tokens),
+        k=params.retriever.k,
+        **options,
+    )
+    _write(spark, params.chat, answers, ANSWERS, "answers")

@@ -35,6 +35,18 @@ CONTENT_CHUNKS_EMBEDDING = StructType(
     CONTENT_CHUNKS.fields + _struct(embedding=ArrayType(FloatType())).fields
 )
 
+# One row per question: the answer with the passages it was given, best first.
+CONTEXT = _struct(
+    id=StringType(),
+    video_id=StringType(),
+    title=StringType(),
+    publish_time=TimestampType(),
+    content=StringType(),
+)
+ANSWERS = _struct(
+    query_id=StringType(), input=StringType(), answer=StringType(), context=ArrayType(CONTEXT)
+)
+
 # Landed playlist page: the answer as fetched, plus the playlist it was fetched for.
 PLAYLIST_PAGE = _struct(
     playlist_id=StringType(),

@@ -83,6 +83,10 @@ def write_table(
     create_table(spark, schema, table, partition_cols, path, fmt)
     # insertInto matches columns by position.
     rows = df.select(*schema.fieldNames()).select(*_stored(schema, partition_cols))
+    if partition_cols:
+        # Rows of a partition meet in few tasks, and so in few files; adaptive execution
+        # divides a partition that is too large for one.
+        rows = rows.hint("rebalance", *partition_cols)
     with _overwrite_only_written_partitions(spark):
         rows.write.insertInto(table, overwrite=mode == "overwrite")
 

@@ -14,9 +14,11 @@ from passages.params import (
     read_params,
 )
 from passages.plans.answers import answer_questions
-from passages.plans.jobs import captions_job, chunk_job, embedding_job
-from passages.schemas import CONTENT_CHUNKS_EMBEDDING
+from passages.plans.__main__ import main
+from passages.plans.jobs import answers_job, captions_job, chunk_job, embedding_job
+from passages.schemas import ANSWERS, CONTENT_CHUNKS_EMBEDDING
 from passages.sources.landing import read_captions, read_playlist_pages
+from passages.sources.tables import table_info
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -107,6 +109,30 @@ def test_jobs_in_a_row(spark, tmp_path, golden):
     assert answers[0]["context"][0].asDict().keys() == {
         "id", "video_id", "title", "publish_time", "content",
     }
+
+    location = table_info(spark, "jobs.content_chunks_embedding")["Location"]
+    retriever = {**CONFIG["retriever"], "table_url": location, "k": 2}
+    answers_job(
+        spark,
+        parse_params({**CONFIG, "retriever": retriever}),
+        asked,
+        lambda name: lexical_model(32),
+        lambda name, temperature, max_tokens: lambda texts: [f"{name} {max_tokens}"] * len(texts),
+        fmt="parquet",
+    )
+    stored = spark.table("jobs.answers").orderBy("query_id")
+    assert stored.schema == ANSWERS
+    assert [(r["answer"], r["context"][0]["id"]) for r in stored.collect()] == [
+        ("c 500", "UCabc_v_2"),
+        ("c 500", "UCabc_v_1"),
+    ]
+
+    config = {**CONFIG, "chunk": {**COMMON, "chunk_size": 40, "chunk_overlap": 5}}
+    (tmp_path / "conf.json").write_text(json.dumps(config))
+    main(["chunk", "--conf-file", str(tmp_path / "conf.json")])
+    assert spark.table("jobs.content_chunks").count() < 4
+    with pytest.raises(SystemExit):
+        main(["embedding", "--conf-file", str(tmp_path / "conf.json")])
     spark.sql("DROP DATABASE jobs CASCADE")
 
 
