@@ -17,7 +17,7 @@ from passages.sources.checkpoints import materialised
 # Questions are sent to every task only up to this size; more go by cells.
 BROADCAST_BYTES = 32 << 20
 # So many questions are fetched before their size is known.
-FEW = 1024
+FEW = 4096
 # What a question takes besides its vector, and what a hit takes.
 ID_BYTES = 64
 HIT_BYTES = 128
@@ -75,33 +75,37 @@ def nearest_passages(
     with ``cells``, questions meet vectors cell by cell, with the same result. Vectors
     that are null, of another length than the questions' or not finite are passed over.
 
-    The questions are computed here, when the plan is made, and only once if they are
-    few, so that a model that embeds them is not called again. The vectors should come
-    from a table: the scan reads them once, the way by cells several times.
+    The questions are computed here, when the plan is made, and only once, so that a
+    model that embeds them is not called again. The vectors should come from a table:
+    the scan reads them once, the way by cells several times.
     """
-    schema = hit_schema(questions, vectors)
+    session, schema = vectors.sparkSession, hit_schema(questions, vectors)
     # Renewed, as questions and vectors may be columns of one table.
     questions = questions.select(
         F.col("query_id").alias("query_id"), F.col("embedding").alias("embedding")
-    ).where("embedding is not null")
-    found = questions.limit(FEW + 1).toArrow()
+    )
+    many = questions.select("query_id").limit(FEW + 1).count() > FEW
+    if many:
+        questions = materialised(questions)
+    known = questions.where("embedding is not null")
+    found = known.limit(FEW + 1).toArrow()
     dim = dimension(found)
     if dim is None:
-        return ranked(vectors.sparkSession.createDataFrame([], schema), k)
+        return ranked(session.createDataFrame([], schema), k)
 
     limit = broadcast_bytes // (8 * dim + ID_BYTES)
     few = cells is None and found.num_rows <= limit
-    if found.num_rows > FEW or not few:
-        questions = materialised(valid_embeddings(questions, dim))
-        if few:
-            found = questions.limit(limit + 1).toArrow()
-            few = found.num_rows <= limit
+    if many and few:
+        found = valid_embeddings(known, dim).limit(limit + 1).toArrow()
+        few = found.num_rows <= limit
     if few:
         found = _valid(found, dim)
         hits = scan_nearest(found, vectors, dim, k, schema)
         # So few hits go to every task when they are joined to the passages.
         small = found.num_rows * k * HIT_BYTES <= broadcast_bytes
         return F.broadcast(hits) if small else hits
+    if not many:
+        known = session.createDataFrame(found, questions.schema)
     if cells is None:
         cells = fit_cells(valid_embeddings(vectors, dim), dim)
-    return ranked(search_cells(questions, cells, k, schema), k)
+    return ranked(search_cells(valid_embeddings(known, dim), cells, k, schema), k)

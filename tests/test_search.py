@@ -207,9 +207,10 @@ def test_last_of_repeated_ids_counts(spark):
     assert [r["content"] for r in rows] == ["new", "only"]
 
 
-def test_model_embeds_few_questions_once(spark, grid, tmp_path):
-    from passages.operators.embedding import add_embedding
-
+@pytest.mark.parametrize("limits", [{}, {"FEW": 2}, {"BROADCAST_BYTES": 0}])
+def test_model_embeds_questions_once(spark, grid, tmp_path, limits, monkeypatch):
+    options = {"broadcast_bytes": 0} if "BROADCAST_BYTES" in limits else {}
+    monkeypatch.setattr(search, "FEW", limits.get("FEW", 1024))
     folder = str(tmp_path)
 
     def make():
@@ -225,5 +226,5 @@ def test_model_embeds_few_questions_once(spark, grid, tmp_path):
     asked = spark.range(4, numPartitions=2).selectExpr("id AS query_id", "cast(id AS string) AS t")
     questions = add_embedding(asked, make, text="t")
     vectors = _frame(spark, "id", grid[2], grid[3])
-    assert nearest_passages(questions, vectors, 3).count() == 12
+    assert nearest_passages(questions, vectors, 3, **options).count() == 12
     assert len(list(tmp_path.iterdir())) == 4
