@@ -18,6 +18,8 @@ from passages.sources.checkpoints import materialised
 BROADCAST_BYTES = 32 << 20
 # So many questions are fetched before their size is known.
 FEW = 4096
+# Tasks of the scan at most, and so, times k, the hits of a question that are merged.
+SCAN_TASKS = 1 << 14
 # What a question takes besides its vector, and what a hit takes.
 ID_BYTES = 64
 HIT_BYTES = 128
@@ -41,6 +43,7 @@ def scan_nearest(
     """One pass over the vectors, with all questions at every task.
 
     Vectors are neither shuffled nor collected; each task returns k hits per question.
+    Beyond ``SCAN_TASKS`` partitions a task takes several, without a shuffle.
     """
     session = vectors.sparkSession
     shared = session.sparkContext.broadcast(
@@ -58,7 +61,7 @@ def scan_nearest(
             yield from best.result(query_ids).to_batches()
 
     rows = valid_embeddings(vectors.select("id", "embedding"), dim)
-    return ranked(rows.mapInArrow(scan, schema), k)
+    return ranked(rows.coalesce(SCAN_TASKS).mapInArrow(scan, schema), k)
 
 
 def nearest_passages(

@@ -1,5 +1,8 @@
 import numpy as np
+import pyarrow as pa
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from passages.operators import cells, nearest, search
 from passages.operators.cells import fit_cells, search_cells
@@ -73,8 +76,6 @@ def test_blocks_of_a_large_and_much_visited_cell(spark, grid, monkeypatch):
 
 def test_small_tiles(grid):
     """Tiles, the head and crowded bounds, without Spark."""
-    import pyarrow as pa
-
     query_ids, questions, ids, vectors = grid
     q, v = questions.astype(np.float32).astype(float), vectors
     for tile, head, crowded in ((7, 1, 0), (1 << 20, 1024, 4), (50, 64, 1)):
@@ -89,6 +90,30 @@ def test_small_tiles(grid):
         assert sorted(rows) == sorted(r[:3] for r in brute_force(*grid, 5))
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.data())
+def test_blocks_match_brute_force(data):
+    """Few coordinates and repeated rows, in blocks of any size, without Spark."""
+    k = data.draw(st.integers(1, 6))
+    draw = np.random.default_rng(data.draw(st.integers(0, 10**6)))
+    n = data.draw(st.integers(1, 60))
+    vectors = draw.integers(0, data.draw(st.integers(1, 5)), size=(n, 2)).astype(float)
+    questions = draw.integers(0, 5, size=(4, 2)) + draw.choice([0.0, 0.25], size=(4, 1))
+    ids = draw.permutation(n).tolist()
+    step = data.draw(st.integers(1, 60))
+    blocks = [(pa.array(ids[i : i + step]), vectors[i : i + step]) for i in range(0, n, step)]
+    found = nearest.best_of(pa.array(range(4)), questions, blocks, k, pa.int64())
+    rows = zip(*(found[c].to_pylist() for c in ("query_id", "id", "distance")))
+    expected = brute_force(range(4), questions, ids, vectors, k)
+    assert sorted(rows) == sorted(r[:3] for r in expected)
+
+
+def test_scan_tasks_are_limited(spark, grid, monkeypatch):
+    monkeypatch.setattr(search, "SCAN_TASKS", 2)
+    hits = _search(spark, grid, 5)
+    assert _rows(hits) == sorted(brute_force(*grid, 5))
+
+
 def test_fewer_vectors_than_k(spark):
     data = (["q"], [[0.0, 0.0]], [7, 8], [[1.0, 0.0], [0.0, 2.0]])
     for options in ({}, {"broadcast_bytes": 0}):
