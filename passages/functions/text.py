@@ -35,8 +35,10 @@ def playlist_id(channel_id: Column, prefix: str = VIDEOS_PLAYLIST_PREFIX) -> Col
 
 
 def published_at(text: Column) -> Column:
-    """ISO-8601 text to a timestamp; text that is no time is an error."""
-    return F.to_timestamp(text)
+    """ISO-8601 text to a timestamp; text that is no time is an error in any session."""
+    time = F.try_to_timestamp(text)
+    wrong = F.raise_error(F.concat(F.lit("not a time: "), text)).cast("timestamp")
+    return F.when(text.isNull() | time.isNotNull(), time).otherwise(wrong)
 
 
 def passage_id(channel_id: Column, video_id: Column, position: Column) -> Column:

@@ -23,6 +23,8 @@ SCAN_TASKS = 1 << 14
 # What a question takes besides its vector, and what a hit takes.
 ID_BYTES = 64
 HIT_BYTES = 128
+# Hits go to every task when joined to the passages, which else are shuffled, up to this.
+BROADCAST_HITS_BYTES = 256 << 20
 
 
 def dimension(vectors: pa.Table) -> int | None:
@@ -64,6 +66,11 @@ def scan_nearest(
     return ranked(rows.coalesce(SCAN_TASKS).mapInArrow(scan, schema), k)
 
 
+def _marked(hits: DataFrame, questions: int, k: int) -> DataFrame:
+    """Hits marked to be broadcast by a join, if there are few enough at most."""
+    return F.broadcast(hits) if questions * k * HIT_BYTES <= BROADCAST_HITS_BYTES else hits
+
+
 def nearest_passages(
     questions: DataFrame,
     vectors: DataFrame,
@@ -103,12 +110,10 @@ def nearest_passages(
         few = found.num_rows <= limit
     if few:
         found = _valid(found, dim)
-        hits = scan_nearest(found, vectors, dim, k, schema)
-        # So few hits go to every task when they are joined to the passages.
-        small = found.num_rows * k * HIT_BYTES <= broadcast_bytes
-        return F.broadcast(hits) if small else hits
+        return _marked(scan_nearest(found, vectors, dim, k, schema), found.num_rows, k)
     if not many:
         known = session.createDataFrame(found, questions.schema)
+    known = valid_embeddings(known, dim)
     if cells is None:
         cells = fit_cells(valid_embeddings(vectors, dim), dim)
-    return ranked(search_cells(valid_embeddings(known, dim), cells, k, schema), k)
+    return _marked(ranked(search_cells(known, cells, k, schema), k), known.count(), k)

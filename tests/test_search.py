@@ -214,11 +214,18 @@ def test_golden_retrieval(spark, golden, make_fake_model):
     assert [tuple(c) for c in found["context"]] == [(ids[0], parts[0]), (ids[2], parts[2])]
 
 
-def test_few_hits_are_broadcast(spark, grid):
-    hits = _search(spark, grid, 5)
+@pytest.mark.parametrize("options", [{}, {"broadcast_bytes": 0}])
+def test_hits_are_broadcast_if_few(spark, grid, options, monkeypatch):
     passages = spark.range(10).selectExpr("cast(id AS string) AS id", "'x' AS content")
-    plan = retrieved(hits, passages, FIELDS)._jdf.queryExecution().executedPlan().toString()
-    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+    def plan():
+        rows = retrieved(_search(spark, grid, 5, **options), passages, FIELDS)
+        text = rows._jdf.queryExecution().optimizedPlan().toString()
+        return next(line for line in text.split("\n") if "Join Inner" in line)
+
+    assert "strategy=broadcast" in plan()
+    monkeypatch.setattr(search, "BROADCAST_HITS_BYTES", 5 * 50 * 128 - 1)
+    assert "strategy=broadcast" not in plan()
 
 
 def test_last_of_repeated_ids_counts(spark):

@@ -5,7 +5,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from passages.functions.text import passage_id, playlist_id, watch_url
+from passages.functions.text import passage_id, playlist_id, published_at, watch_url
 from passages.operators.transcripts import (
     caption_text,
     flatten_transcripts,
@@ -113,10 +113,15 @@ def test_bad_time_is_an_error(spark, tmp_path):
         [{"playlist_id": "UULFabc", "items": [_item("v1", time="soon")]}],
         read_playlist_pages,
     )
-    with pytest.raises(PySparkException):
+    with pytest.raises(PySparkException, match="not a time: soon"):
         channel_videos(pages, _channels(spark, "UCabc")).collect()
 
 
+def test_times_with_an_offset(spark):
+    df = spark.createDataFrame([("2024-08-09T18:03:23+02:00",), (None,)], "t string")
+    assert [r[0] for r in df.select(published_at(F.col("t"))).collect()] == [TIME, None]
+
+
 def test_videos_are_distinct_in_all_columns(spark):
     rows = [("c", "v", "old", TIME), ("c", "v", "new", TIME), ("c", "v", "new", TIME)]
     found = distinct_videos(spark.createDataFrame(rows, VIDEO)).collect()
