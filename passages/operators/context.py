@@ -26,6 +26,13 @@ def retrieved(
     return joined.groupBy("query_id", "rank").agg(last).select("query_id", "rank", "last.*")
 
 
+def repeated_ids(passages: DataFrame) -> DataFrame:
+    """``id, copies`` of the ids that stand for more than one row."""
+    return (
+        passages.groupBy("id").agg(F.count("*").alias("copies")).where(F.col("copies") > 1)
+    )
+
+
 def contexts(retrieved_rows: DataFrame, fields: tuple[str, ...] = CONTEXT_FIELDS) -> DataFrame:
     """``query_id, context``: the passages of each question in order of rank.
 

@@ -197,6 +197,7 @@ SELECT doc_id::VARCHAR AS video_id, {_count("text")} AS n_tokens FROM documents"
         CHUNK_OVERLAP,
     ),
     "chunks_tokens_large": _chunks_tokens("content", 500, 50),
+    "chunks_tokens_small": _chunks_tokens("content", 10, 2),
     "chunk_vectors": LONG_VECTORS,
     "chunk_vectors_udf": LONG_VECTORS,
     "knn_exact": KNN,

@@ -213,6 +213,11 @@ def chunks_tokens_large(spark: SparkSession, folder: str) -> DataFrame:
     return chunk_content(_content(spark, folder)).select("id", "content")
 
 
+def chunks_tokens_small(spark: SparkSession, folder: str) -> DataFrame:
+    """So small that words are split at line ends and into characters."""
+    return chunk_content(_content(spark, folder), 10, 2).select("id", "content")
+
+
 def _long_vectors(vectors: DataFrame) -> DataFrame:
     return (
         vectors.select("id", F.posexplode("embedding").alias("bucket", "weight"))
@@ -335,6 +340,7 @@ QUERIES = {
     "chunks_words": chunks_words,
     "chunks_tokens": chunks_tokens,
     "chunks_tokens_large": chunks_tokens_large,
+    "chunks_tokens_small": chunks_tokens_small,
     "chunk_vectors": chunk_vectors,
     "chunk_vectors_udf": chunk_vectors_udf,
     "knn_exact": knn_exact,

@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 
 from passages.operators import cells, nearest, search
 from passages.operators.cells import fit_cells, search_cells
-from passages.operators.context import contexts, retrieved
+from passages.operators.context import contexts, repeated_ids, retrieved
 from passages.operators.embedding import add_embedding
 from passages.operators.hits import hit_schema
 from passages.operators.search import nearest_passages
@@ -235,6 +235,7 @@ def test_last_of_repeated_ids_counts(spark):
     passages = spark.createDataFrame(
         [("a", "old", 1), ("a", "new", 2), ("b", "only", 1)], "id string, content string, version int"
     )
+    assert [tuple(r) for r in repeated_ids(passages).collect()] == [("a", 2)]
     rows = retrieved(hits, passages, FIELDS, last_by=["version"]).orderBy("rank").collect()
     assert [r["content"] for r in rows] == ["new", "only"]
 
