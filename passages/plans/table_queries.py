@@ -284,7 +284,7 @@ def rag_prompts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _stub_model():
-    """Stands for a chat model: answers with the length of the prompt and its end."""
+    """Stands for a chat model: answers with the length of the prompt."""
     return lambda texts: [f"{len(text)} characters" for text in texts]
 
 
