@@ -7,12 +7,20 @@ from passages.llm.chat import conversations
 from passages.llm.exact import exact_duplicates
 from passages.llm.licences import licences
 from passages.llm.mixing import mixed
+from passages.llm.substrings import without_repeats
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_substrings(spark: SparkSession, folder: str) -> DataFrame:
+    found = without_repeats(_table(spark, folder, "documents"), length=35)
+    return found.select(
+        F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256")
+    )
+
+
 def op2_conversations(spark: SparkSession, folder: str) -> DataFrame:
     return conversations(_table(spark, folder, "conversations")).withColumnsRenamed(
         {"conv": "conv_id"}
@@ -36,6 +44,7 @@ def op9_licences(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_substrings": op1_substrings,
     "op2_conversations": op2_conversations,
     "op3_exact_duplicates": op3_exact_duplicates,
     "op7_mixing": op7_mixing,
