@@ -8,6 +8,7 @@ from passages.llm.exact import exact_duplicates
 from passages.llm.licences import licences
 from passages.llm.mixing import mixed
 from passages.llm.substrings import without_repeats
+from passages.llm.suffixes import without_repeats as without_repeated_bytes
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -32,6 +33,13 @@ def op3_exact_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumnsRenamed({"id": "doc_id", "digest": "text_sha256"})
 
 
+def op6_suffixes(spark: SparkSession, folder: str) -> DataFrame:
+    found = without_repeated_bytes(_table(spark, folder, "documents"), length=200)
+    return found.select(
+        F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixed(_table(spark, folder, "documents")).withColumnRenamed("id", "doc_id")
 
@@ -47,6 +55,7 @@ QUERIES = {
     "op1_substrings": op1_substrings,
     "op2_conversations": op2_conversations,
     "op3_exact_duplicates": op3_exact_duplicates,
+    "op6_suffixes": op6_suffixes,
     "op7_mixing": op7_mixing,
     "op9_licences": op9_licences,
 }
