@@ -8,6 +8,7 @@ from passages.llm.exact import exact_duplicates
 from passages.llm.licences import licences
 from passages.llm.mixing import mixed
 from passages.llm.substrings import without_repeats
+from passages.llm import toxicity
 from passages.llm.suffixes import without_repeats as without_repeated_bytes
 
 
@@ -33,6 +34,18 @@ def op3_exact_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumnsRenamed({"id": "doc_id", "digest": "text_sha256"})
 
 
+def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = _table(spark, folder, "documents"), _table(spark, folder, "labels")
+    model = toxicity.fit(docs, labels.where(~toxicity.held_out(F.col("doc_id"))))
+    found = toxicity.scores(docs, model)
+    return found.select(
+        F.col("id").alias("doc_id"),
+        toxicity.held_out(F.col("id")).alias("held_out"),
+        "score",
+        "predicted",
+    )
+
+
 def op6_suffixes(spark: SparkSession, folder: str) -> DataFrame:
     found = without_repeated_bytes(_table(spark, folder, "documents"), length=200)
     return found.select(
@@ -55,6 +68,7 @@ QUERIES = {
     "op1_substrings": op1_substrings,
     "op2_conversations": op2_conversations,
     "op3_exact_duplicates": op3_exact_duplicates,
+    "op4_toxicity": op4_toxicity,
     "op6_suffixes": op6_suffixes,
     "op7_mixing": op7_mixing,
     "op9_licences": op9_licences,
