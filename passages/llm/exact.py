@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from passages.llm.shared import saved
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+# Characters of a text that its place in the sort is first decided by.
+HEAD = 32
 
 
 def ascii_lower(text: Column) -> Column:
@@ -41,10 +43,14 @@ def exact_duplicates(
         F.col(id_col).alias("id"),
         ascii_lower(F.coalesce(F.col(text_col), F.lit(""))).alias("text"),
         F.pmod(F.xxhash64(F.col(id_col)), F.lit(ranges)).alias("slice"),
-    ).repartitionByRange(ranges, "text", "slice")
+    )
+    # Whole texts as splitters would be too much for the driver, which gathers the sample.
+    rows = rows.withColumn("head", F.substring("text", 1, HEAD)).repartitionByRange(
+        ranges, "head", "slice"
+    )
     best = F.min if keep == "smallest" else F.max
     first = F.col("id").asc_nulls_last() if keep == "smallest" else F.col("id").desc_nulls_last()
-    run = W.partitionBy("text", "slice")
+    run = W.partitionBy("head", "slice", "text")
     runs = saved(
         rows.select(
             "id",

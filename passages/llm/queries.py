@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from passages.llm.chat import conversations
 from passages.llm.exact import exact_duplicates
+from passages.llm.leaks import leaks
 from passages.llm.licences import licences
 from passages.llm.mixing import mixed
 from passages.llm.substrings import without_repeats
@@ -46,6 +47,11 @@ def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op5_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    found = leaks(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+    return found.withColumnRenamed("id", "doc_id")
+
+
 def op6_suffixes(spark: SparkSession, folder: str) -> DataFrame:
     found = without_repeated_bytes(_table(spark, folder, "documents"), length=200)
     return found.select(
@@ -69,6 +75,7 @@ QUERIES = {
     "op2_conversations": op2_conversations,
     "op3_exact_duplicates": op3_exact_duplicates,
     "op4_toxicity": op4_toxicity,
+    "op5_leaks": op5_leaks,
     "op6_suffixes": op6_suffixes,
     "op7_mixing": op7_mixing,
     "op9_licences": op9_licences,
