@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from passages.llm.chat import conversations
 from passages.llm.exact import exact_duplicates
+from passages.llm.extraction import extract
 from passages.llm.leaks import leaks
 from passages.llm.licences import licences
 from passages.llm.mixing import mixed
@@ -70,6 +71,17 @@ def op9_licences(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op10_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    found = extract(_table(spark, folder, "pages"))
+    return found.select(
+        F.col("id").alias("page_id"),
+        "url",
+        "text",
+        F.char_length("text").cast("long").alias("n_chars"),
+        "container",
+    )
+
+
 QUERIES = {
     "op1_substrings": op1_substrings,
     "op2_conversations": op2_conversations,
@@ -79,4 +91,5 @@ QUERIES = {
     "op6_suffixes": op6_suffixes,
     "op7_mixing": op7_mixing,
     "op9_licences": op9_licences,
+    "op10_extraction": op10_extraction,
 }
