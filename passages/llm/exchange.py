@@ -92,8 +92,8 @@ def sketch_pieces(g: int, keys: np.ndarray, bits: int, blocks: int) -> list[tupl
     return rows
 
 
-def merge_sketch(pieces: pa.Table, bits: int) -> pa.Table:
-    """Counters of one range, summed over groups; a bit per counter sent: is it over 1?"""
+def unpack_sketch(pieces: pa.Table, bits: int) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """Counters sent to a range, their values, and how many each piece holds."""
     sent, weights, sizes = [], [], []
     low = np.uint64(64 - bits)
     for payload, extra in zip(pieces["payload"].to_pylist(), pieces["extra"].to_pylist(), strict=True):
@@ -103,9 +103,14 @@ def merge_sketch(pieces: pa.Table, bits: int) -> pa.Table:
         sent.append(np.cumsum(steps))
         weights.append(unpacked(extra, n, np.uint8) if extra else np.ones(n, np.uint8))
         sizes.append(n)
-    _, place = np.unique(np.concatenate(sent), return_inverse=True)
-    repeated = (np.bincount(place, np.concatenate(weights)) > 1)[place]
-    return _answers(pieces, repeated, sizes)
+    return np.concatenate(sent), np.concatenate(weights), sizes
+
+
+def merge_sketch(pieces: pa.Table, bits: int) -> pa.Table:
+    """Counters of one range, summed over groups; a bit per counter sent: is it over 1?"""
+    sent, weights, sizes = unpack_sketch(pieces, bits)
+    _, place = np.unique(sent, return_inverse=True)
+    return _answers(pieces, (np.bincount(place, weights) > 1)[place], sizes)
 
 
 def _answers(pieces: pa.Table, flags: np.ndarray, sizes: list[int]) -> pa.Table:

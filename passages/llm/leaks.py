@@ -218,7 +218,62 @@ def leaks(
     words, or null, are found nowhere; equal items are found together. Null and empty
     texts hold none. A text repeated gives its rows again. Other columns are left out.
     """
-    spark = docs.sparkSession
+    id_type = docs.schema[id_col].dataType
+    item_type = items.schema[item_col].dataType
+    out = (
+        f"id {id_type.simpleString()}, item_id {item_type.simpleString()}, word long, score double,"
+        " question_overlap double, answer_overlap double"
+    )
+    arrow_id = to_arrow_type(id_type)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    found = rows.sparkSession.createDataFrame([], out)
+    for shard in _shards(items, item_col, item_text_col):
+
+        def search(batches: Iterator[pa.RecordBatch], shard=shard) -> Iterator[pa.RecordBatch]:
+            index, length, item_ids = pickle.loads(shard.value)
+            for batch in batches:
+                hits = hits_of(batch["text"].cast(pa.binary()).to_pylist(), index, length, similarity)
+                columns = list(zip(*hits, strict=True)) or [[]] * 6
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch["id"].cast(arrow_id).take(pa.array(columns[0], pa.int64())),
+                        item_ids.take(pa.array(columns[1], pa.int64())),
+                        pa.array(columns[2], pa.int64()),
+                        *(pa.array(np.round(np.array(c, float), 6)) for c in columns[3:]),
+                    ],
+                    names=["id", "item_id", "word", "score", "question_overlap", "answer_overlap"],
+                )
+
+        found = found.unionByName(rows.where("text is not null").mapInArrow(search, out))
+    return found
+
+
+def without_leaks(
+    docs: DataFrame,
+    items: DataFrame,
+    text_col: str = "text",
+    item_col: str = "item_id",
+    item_text_col: str = "text",
+    similarity: float = SIMILARITY,
+) -> DataFrame:
+    """The rows of ``docs`` in which ``leaks`` finds no item, with all their columns."""
+    at = docs.columns.index(text_col)
+    for shard in _shards(items, item_col, item_text_col):
+
+        def keep(batches: Iterator[pa.RecordBatch], shard=shard) -> Iterator[pa.RecordBatch]:
+            index, length, _ = pickle.loads(shard.value)
+            for batch in batches:
+                texts = [t or b"" for t in batch.column(at).cast(pa.binary()).to_pylist()]
+                clean = np.ones(len(texts), bool)
+                clean[[hit[0] for hit in hits_of(texts, index, length, similarity)]] = False
+                yield batch.filter(pa.array(clean))
+
+        docs = docs.mapInArrow(keep, docs.schema)
+    return docs
+
+
+def _shards(items: DataFrame, item_col: str, item_text_col: str) -> Iterator:
+    """Indexes of the items, of bounded size each, broadcast with the words of a passage."""
     items = items.select(F.col(item_col).alias("id"), F.col(item_text_col).alias("text")).where(
         "text is not null"
     )
@@ -229,119 +284,91 @@ def leaks(
         F.max(F.size("words")).alias("longest"),
         F.sum(F.octet_length("text")).alias("bytes"),
     ).first()
-    id_type = docs.schema[id_col].dataType
-    item_type = items.schema["id"].dataType
-    out = (
-        f"id {id_type.simpleString()}, item_id {item_type.simpleString()}, word long, score double,"
-        " question_overlap double, answer_overlap double"
-    )
     if not stats["n"]:
-        return spark.createDataFrame([], out)
+        return
     length = max(2 * stats["longest"], 64)
     shards = -(-stats["bytes"] // SHARD_BYTES)
-    numbered = words.select(
-        F.xxhash64("id", "text").alias("key"),
-        "id",
-        "text",
-        F.size("words").alias("size"),
-        F.pmod(F.xxhash64("id", "text"), F.lit(shards)).alias("shard"),
-        F.explode("words").alias("term"),
+    key = F.xxhash64("id", "text")
+    names = words.select(key.alias("key"), "id", "text", F.pmod(key, F.lit(shards)).alias("shard"))
+    counted = (
+        words.select(
+            key.alias("key"), F.pmod(key, F.lit(shards)).alias("shard"), F.size("words").alias("size"),
+            F.explode("words").alias("term"),
+        )
+        .groupBy("key", "shard", "term", "size")
+        .agg(F.count("*").alias("tf"))
+        .withColumn("df", F.count("*").over(W.partitionBy("term")))
     )
-    tf = numbered.groupBy("key", "shard", "term", "size").agg(F.count("*").alias("tf"))
-    df = F.count("*").over(W.partitionBy("term"))
     idf = F.log(1 + (stats["n"] - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = K1 * (1 - B + B * F.col("size") / stats["mean"])
-    postings = saved(
-        tf.withColumn("df", df).select(
-            "shard", F.col("key").alias("id"), "term", (idf * F.col("tf") * (K1 + 1) / (F.col("tf") + norm)).alias("impact")
-        )
-    )
-    names = words.select(
-        F.xxhash64("id", "text").alias("key"), "id", "text", F.pmod(F.xxhash64("id", "text"), F.lit(shards)).alias("shard")
-    )
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
-    found = None
+    impact = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + norm)
+    postings = saved(counted.select("shard", F.col("key").alias("id"), "term", impact.alias("impact")))
     for shard in range(shards):
-        part = _search(rows, names.where(F.col("shard") == shard), postings.where(F.col("shard") == shard), length, similarity, out)
-        found = part if found is None else found.unionByName(part)
-    return found
+        known = names.where(F.col("shard") == shard).orderBy("key", "id").toArrow()
+        own = postings.where(F.col("shard") == shard).select("id", "term", "impact").toArrow()
+        index = Index(known["key"].to_pylist(), known["text"].to_pylist(), own)
+        # As bytes with the class, which the workers need not have installed.
+        yield items.sparkSession.sparkContext.broadcast(
+            cloudpickle.dumps((index, length, known["id"].combine_chunks()))
+        )
 
 
-def _search(rows: DataFrame, names: DataFrame, postings: DataFrame, length: int, similarity: float, out: str) -> DataFrame:
-    known = names.orderBy("key", "id").toArrow()
-    keys = known["key"].to_pylist()
-    index = Index(keys, known["text"].to_pylist(), postings.select("id", "term", "impact").toArrow())
-    # As bytes with the class, which the workers need not have installed.
-    shared = rows.sparkSession.sparkContext.broadcast(
-        cloudpickle.dumps((index, known["id"].combine_chunks()))
-    )
-    arrow_id = to_arrow_type(rows.schema["id"].dataType)
-    step = length // 2
+def hits_of(texts: list[bytes], index: Index, length: int, similarity: float) -> list[tuple]:
+    """``text, item, word, score, question overlap, answer overlap`` of verified items."""
+    found, slab, size, begin = [], [], 0, 0
+    for number, text in enumerate(texts):
+        slab.append(text)
+        size += len(text)
+        if size >= SLAB_BYTES or number == len(texts) - 1:
+            hits = _search_slab(slab, index, length, similarity)
+            found += [(begin + t, *rest) for t, *rest in hits]
+            begin, slab, size = number + 1, [], 0
+    return found
 
-    def search_slab(texts: list[bytes], index: Index) -> list[tuple]:
-        terms = terms_of(texts)
-        place = np.minimum(np.searchsorted(index.terms, terms.hashes), len(index.terms) - 1)
-        known = index.terms[place] == terms.hashes
-        # Passages by text: one more than there are whole steps beyond the first.
-        n_words = terms.last - terms.first
-        n = np.where(n_words > 0, 1 + np.maximum(0, -(-(n_words - length) // step)), 0)
-        first = np.cumsum(n) - n
-        word = np.flatnonzero(known)
-        text = np.searchsorted(terms.last, word, side="right")
-        inner = (word - terms.first[text]) // step
-        late = np.minimum(inner, n[text] - 1)
-        early = np.maximum(inner - 1, 0)
-        passage = np.concatenate([first[text] + late, first[text] + early])
-        term = np.concatenate([place[word], place[word]])
-        pair = np.unique(passage * len(index.terms) + term)
-        passage, term = pair // len(index.terms), pair % len(index.terms)
-        possible = np.flatnonzero(index.may_retrieve(passage, term, int(n.sum())))
-        found = []
-        lows, highs = np.searchsorted(passage, possible), np.searchsorted(passage, possible + 1)
-        texts_of = np.searchsorted(first + n, possible, side="right")
-        for p, low, high, t in zip(possible.tolist(), lows, highs, texts_of.tolist(), strict=True):
-            hits = index.retrieve(term[low:high].tolist())
-            if not hits:
-                continue
-            start = int(terms.first[t] + (p - first[t]) * step)
-            own = terms.hashes[start : min(start + length, int(terms.last[t]))]
-            own_shingles: dict[int, set] = {}
-            own_words = set(own.tolist())
-            for item, score in hits:
-                question, answer = index.parts[item]
-                size = index.sizes[item]
-                if size not in own_shingles:
-                    own_shingles[size] = set(mix(Hashes(own, BASE).windows(size)).tolist())
-                q = len(question & own_shingles[size]) / len(question) if question else 1.0
-                a = len(answer & own_words) / len(answer) if answer else 1.0
-                if q >= similarity and a >= similarity:
-                    found.append((t, item, start - int(terms.first[t]), score, q, a))
-        best: dict[tuple[int, int], tuple] = {}
-        for row in found:
-            if row[:2] not in best or (row[4], -row[2]) > (best[row[:2]][4], -best[row[:2]][2]):
-                best[row[:2]] = row
-        return list(best.values())
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, item_ids = pickle.loads(shared.value)
-        for batch in batches:
-            found, slab, size, begin = [], [], 0, 0
-            texts = batch["text"].cast(pa.binary()).to_pylist()
-            for number, text in enumerate(texts):
-                slab.append(text)
-                size += len(text)
-                if size >= SLAB_BYTES or number == len(texts) - 1:
-                    found += [(begin + t, *rest) for t, *rest in search_slab(slab, index)]
-                    begin, slab, size = number + 1, [], 0
-            columns = list(zip(*found, strict=True)) or [[]] * 6
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch["id"].cast(arrow_id).take(pa.array(columns[0], pa.int64())),
-                    item_ids.take(pa.array(columns[1], pa.int64())),
-                    pa.array(columns[2], pa.int64()),
-                    *(pa.array(np.round(np.array(c, float), 6)) for c in columns[3:]),
-                ],
-                names=["id", "item_id", "word", "score", "question_overlap", "answer_overlap"],
-            )
 
-    return rows.mapInArrow(search, out)
+def _search_slab(texts: list[bytes], index: Index, length: int, similarity: float) -> list[tuple]:
+    step = length // 2
+    if not len(index.terms):
+        return []
+    terms = terms_of(texts)
+    place = np.minimum(np.searchsorted(index.terms, terms.hashes), len(index.terms) - 1)
+    known = index.terms[place] == terms.hashes
+    # Passages by text: one more than there are whole steps beyond the first.
+    n_words = terms.last - terms.first
+    n = np.where(n_words > 0, 1 + np.maximum(0, -(-(n_words - length) // step)), 0)
+    first = np.cumsum(n) - n
+    word = np.flatnonzero(known)
+    text = np.searchsorted(terms.last, word, side="right")
+    inner = (word - terms.first[text]) // step
+    late = np.minimum(inner, n[text] - 1)
+    early = np.maximum(inner - 1, 0)
+    passage = np.concatenate([first[text] + late, first[text] + early])
+    term = np.concatenate([place[word], place[word]])
+    pair = np.unique(passage * len(index.terms) + term)
+    passage, term = pair // len(index.terms), pair % len(index.terms)
+    possible = np.flatnonzero(index.may_retrieve(passage, term, int(n.sum())))
+    found = []
+    lows, highs = np.searchsorted(passage, possible), np.searchsorted(passage, possible + 1)
+    texts_of = np.searchsorted(first + n, possible, side="right")
+    for p, low, high, t in zip(possible.tolist(), lows, highs, texts_of.tolist(), strict=True):
+        hits = index.retrieve(term[low:high].tolist())
+        if not hits:
+            continue
+        start = int(terms.first[t] + (p - first[t]) * step)
+        own = terms.hashes[start : min(start + length, int(terms.last[t]))]
+        own_shingles: dict[int, set] = {}
+        own_words = set(own.tolist())
+        for item, score in hits:
+            question, answer = index.parts[item]
+            size = index.sizes[item]
+            if size not in own_shingles:
+                own_shingles[size] = set(mix(Hashes(own, BASE).windows(size)).tolist())
+            q = len(question & own_shingles[size]) / len(question) if question else 1.0
+            a = len(answer & own_words) / len(answer) if answer else 1.0
+            if q >= similarity and a >= similarity:
+                found.append((t, item, start - int(terms.first[t]), score, q, a))
+    best: dict[tuple[int, int], tuple] = {}
+    for row in found:
+        if row[:2] not in best or (row[4], -row[2]) > (best[row[:2]][4], -best[row[:2]][2]):
+            best[row[:2]] = row
+    return list(best.values())

@@ -145,7 +145,7 @@ def mixed(
     weights: tuple[float, ...] = (1.0, 2.0, 3.0),
     cap: int = 3,
 ) -> DataFrame:
-    """``id, size, source_size, target, rate, copies, taken`` of every row of ``docs``.
+    """``id, hash, size, source_size, target, rate, copies, taken`` of every row of ``docs``.
 
     Sizes are words. Rates are rounded to copies along each source, from the shortest to
     the longest class of sizes: a document gets its whole copies, and one more whenever
@@ -156,7 +156,7 @@ def mixed(
 
     A null text has size 0, as has an empty one; both are taken 0 words. Null sources are
     one source. Rows repeated in full share one hash and one outcome per row. An empty
-    table gives an empty result. Other columns are left out.
+    table gives an empty result. Other columns are left out; ``hash`` is of id and text.
     """
     slices = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sizes = saved(
@@ -203,6 +203,7 @@ def mixed(
         .join(starts, cell)
         .select(
             "id",
+            "hash",
             "size",
             "source_size",
             "target",
@@ -211,3 +212,26 @@ def mixed(
             (copies * F.col("size")).alias("taken"),
         )
     )
+
+
+def with_copies(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    weights: tuple[float, ...] = (1.0, 2.0, 3.0),
+    cap: int = 3,
+) -> DataFrame:
+    """All rows and columns of ``docs`` with the ``copies`` that the mix takes and its ``taken`` words."""
+    order = F.row_number().over(W.partitionBy("__hash").orderBy("__copies"))
+    found = mixed(docs, id_col, text_col, source_col, weights, cap).select(
+        F.col("hash").alias("__hash"), F.col("copies").alias("__copies"), F.col("taken").alias("__taken")
+    )
+    found = found.withColumn("__place", order)
+    rows = docs.withColumn("__hash", F.xxhash64(F.col(id_col), F.col(text_col)))
+    # Rows repeated in full are told apart by a number.
+    rows = rows.withColumn("__place", F.row_number().over(W.partitionBy("__hash").orderBy(F.lit(1))))
+    columns = [c for c in docs.columns if c.lower() not in ("copies", "taken")]
+    return rows.join(found, ["__hash", "__place"]).select(
+        *columns, F.col("__copies").alias("copies"), F.col("__taken").alias("taken")
+    )

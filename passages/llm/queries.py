@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from passages.llm.chat import conversations
 from passages.llm.exact import exact_duplicates
 from passages.llm.extraction import extract
+from passages.llm.jaccard import shingle_components
 from passages.llm.leaks import leaks
 from passages.llm.licences import licences
 from passages.llm.mixing import mixed
@@ -61,7 +62,12 @@ def op6_suffixes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
-    return mixed(_table(spark, folder, "documents")).withColumnRenamed("id", "doc_id")
+    found = mixed(_table(spark, folder, "documents")).drop("hash")
+    return found.withColumnRenamed("id", "doc_id")
+
+
+def op8_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    return shingle_components(_table(spark, folder, "documents")).withColumnRenamed("id", "doc_id")
 
 
 def op9_licences(spark: SparkSession, folder: str) -> DataFrame:
@@ -90,6 +96,7 @@ QUERIES = {
     "op5_leaks": op5_leaks,
     "op6_suffixes": op6_suffixes,
     "op7_mixing": op7_mixing,
+    "op8_jaccard": op8_jaccard,
     "op9_licences": op9_licences,
     "op10_extraction": op10_extraction,
 }

@@ -297,6 +297,22 @@ def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     return rows.mapInArrow(score, f"id {id_type.simpleString()}, score double, predicted int")
 
 
+def without_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that are not predicted to be toxic, with all their columns."""
+    values, bias = model.logits_of_buckets()
+    shared = docs.sparkSession.sparkContext.broadcast(values.astype(np.float32))
+    at = docs.columns.index(text_col)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(at).cast(pa.binary()).to_pylist()
+            odds = [log_odds(slab, shared.value) + bias for slab in slabs(texts)]
+            toxic = np.concatenate(odds) >= 0 if odds else np.zeros(0, bool)
+            yield batch.filter(pa.array(~toxic))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def held_out(id_column: Column) -> Column:
     """Whether a row is kept for testing: one in five, by the CRC-32 of its id as text."""
     return F.coalesce(F.crc32(id_column.cast("string").cast("binary")) % 5 == 0, F.lit(False))
