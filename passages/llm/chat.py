@@ -8,6 +8,7 @@ from passages.llm.shared import saved
 
 MARKS = r"^[ \t]*((?:>[ \t]?)+)"
 ATTRIBUTION = r"(^|\n)[^\n]*\bwrote:[ \t]*$"
+BLANKS = " \t\r\n"
 # Turns of a slice, within which the latest original before a quote is looked for.
 SLICE_TURNS = 4096
 
@@ -94,7 +95,10 @@ def conversations(
         )
     )
     texts = base.join(own, "m", "left").withColumn(
-        "own", F.trim(F.when(has_quote, F.coalesce("own", F.lit(""))).otherwise(F.col("text")))
+        "own",
+        F.btrim(
+            F.when(has_quote, F.coalesce("own", F.lit(""))).otherwise(F.col("text")), F.lit(BLANKS)
+        ),
     )
 
     # Quoted passages as a whole, and their lines.
