@@ -13,25 +13,24 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from passages.operators import nearest
+from passages.operators.embedding import valid_embeddings
 from passages.operators.hits import ranked
 from passages.sources.checkpoints import materialised
 
 MAX_CELLS = 4096
+_STORED = "cell int, center array<double>, size long, radius double"
 # The centres go to every task.
 CENTER_BYTES = 32 << 20
-# Vectors per centre that the centres are fitted on. The result does not depend on it.
-FIT_ROWS_PER_CELL = 64
 # Bytes of vectors, and rows of questions, that meet in one task.
 BLOCK_BYTES = 64 << 20
 BLOCK_QUESTIONS = 8192
-# Slack for the rounding of distances, and, as a share of the lengths of the vectors
-# they are taken between, for the square roots of products.
-_SLACK = 2 * nearest.ROUNDING
+# Slack, as a share of the lengths of the vectors that distances are taken between, for
+# the square roots of products.
 _ROOT_ERROR = 2 * nearest.PRODUCT_ERROR**0.5
 
 
@@ -45,18 +44,9 @@ class Cells:
     radii: np.ndarray
 
 
-def _fit_centers(
-    vectors: DataFrame, dim: int, n_cells: int, n_rows: int, seed: int
-) -> np.ndarray:
-    fraction = min(1.0, n_cells * FIT_ROWS_PER_CELL / max(n_rows, 1))
-    sample = vectors.sample(fraction=fraction, seed=seed) if fraction < 1 else vectors
-    sample = sample.where(
-        F.forall("embedding", lambda x: x.isNotNull() & (F.abs(x) < float("inf")))
-    )
-    if sample.isEmpty():
-        return np.zeros((1, dim))
+def _fit_centers(vectors: DataFrame, dim: int, n_cells: int, seed: int) -> np.ndarray:
     model = KMeans(k=n_cells, maxIter=5, initMode="random", seed=seed).fit(
-        sample.select(array_to_vector("embedding").alias("features"))
+        vectors.select(array_to_vector("embedding").alias("features"))
     )
     return np.array(model.clusterCenters())
 
@@ -90,20 +80,27 @@ def _assign(vectors: DataFrame, centers: np.ndarray) -> DataFrame:
 def fit_cells(
     vectors: DataFrame, dim: int, n_cells: int | None = None, seed: int = 0
 ) -> Cells:
-    """Fit centres, assign every vector and measure the cells.
+    """Fit centres on all vectors, assign every vector and measure the cells.
 
-    ``vectors(id, embedding)`` are valid. The assigned vectors are kept, as each batch
-    of questions reads them twice; fitted cells serve any number of batches.
+    ``vectors(id, embedding)``; only vectors of ``dim`` finite numbers are in cells. They
+    are computed once and kept, and so are the assigned ones; fitted cells serve any
+    number of batches of questions and can be written (``write_cells``).
     """
-    vectors = vectors.select("id", "embedding")
+    most = min(MAX_CELLS, CENTER_BYTES // (8 * dim))
+    if n_cells is not None and not 1 <= n_cells <= most:
+        raise ValueError(f"n_cells must be between 1 and {most} at {dim} dimensions")
+    vectors = materialised(
+        valid_embeddings(vectors.select("id", "embedding"), dim).where(
+            F.forall("embedding", lambda x: x.isNotNull() & (F.abs(x) < float("inf")))
+        )
+    )
     n_rows = vectors.count()
     if n_cells is None:
-        n_cells = int(np.sqrt(n_rows))
-    n_cells = max(1, min(n_cells, MAX_CELLS, CENTER_BYTES // (8 * dim), n_rows))
+        n_cells = min(int(np.sqrt(n_rows)), most)
     # Any centre serves a single cell, and k-means wants two at least.
     centers = np.zeros((1, dim))
-    if n_cells > 1:
-        centers = _fit_centers(vectors, dim, n_cells, n_rows, seed)
+    if 1 < n_cells <= n_rows:
+        centers = _fit_centers(vectors, dim, n_cells, seed)
     assigned = materialised(_assign(vectors, centers))
     sizes, radii = np.zeros(len(centers), np.int64), np.zeros(len(centers))
     # One row per cell, at most MAX_CELLS.
@@ -113,6 +110,31 @@ def fit_cells(
     return Cells(assigned.select("id", "embedding", "cell"), centers, sizes, radii)
 
 
+def write_cells(cells: Cells, path: str) -> None:
+    """Centres and extents to ``path/cells``, the assigned vectors to ``path/vectors``."""
+    session = cells.vectors.sparkSession
+    rows = [
+        (n, [float(x) for x in center], int(size), float(radius))
+        for n, (center, size, radius) in enumerate(
+            zip(cells.centers, cells.sizes, cells.radii, strict=True)
+        )
+    ]
+    session.createDataFrame(rows, _STORED).coalesce(1).write.mode("overwrite").parquet(f"{path}/cells")
+    cells.vectors.write.mode("overwrite").parquet(f"{path}/vectors")
+
+
+def read_cells(session: SparkSession, path: str) -> Cells:
+    """Cells as ``write_cells`` left them, in this session or another."""
+    # One row per cell, at most MAX_CELLS.
+    rows = session.read.schema(_STORED).parquet(f"{path}/cells").orderBy("cell").collect()
+    return Cells(
+        session.read.parquet(f"{path}/vectors"),
+        np.array([row["center"] for row in rows]),
+        np.array([row["size"] for row in rows], np.int64),
+        np.array([row["radius"] for row in rows]),
+    )
+
+
 def _wanted(questions: np.ndarray, bounds: np.ndarray, extent, first: int, rest: bool):
     """For each question the cells to visit, as counts and their numbers in a row."""
     centers, sizes, radii = extent
@@ -123,8 +145,8 @@ def _wanted(questions: np.ndarray, bounds: np.ndarray, extent, first: int, rest:
     if rest:
         lengths = np.linalg.norm(questions, axis=1) + radii.max()
         lengths += 2 * np.linalg.norm(centers, axis=1).max()
-        gap = np.maximum(distances - radii - _SLACK - _ROOT_ERROR * lengths[:, None], 0.0)
-        wanted = np.take_along_axis(gap**2 <= bounds[:, None] + _SLACK, order, axis=1)
+        gap = np.maximum(distances - radii - _ROOT_ERROR * lengths[:, None], 0.0)
+        wanted = np.take_along_axis(gap**2 <= bounds[:, None], order, axis=1)
         wanted[:, :first] = False
     else:
         wanted = np.zeros(order.shape, bool)
@@ -173,6 +195,7 @@ def _meet(visits: DataFrame, cells: Cells, k: int, schema: StructType) -> DataFr
     ``slices`` of questions, so that no pair of blocks outgrows a task.
     """
     dim = cells.centers.shape[1]
+    visits = materialised(visits)
     block_rows = max(1, BLOCK_BYTES // (4 * dim))
     # One row per cell, at most MAX_CELLS.
     visited = {r["cell"]: r["count"] for r in visits.groupBy("cell").count().collect()}

@@ -15,7 +15,20 @@ def hit_schema(questions: DataFrame, vectors: DataFrame) -> StructType:
     )
 
 
+# Tasks' hits of a question meet in so many places first.
+MERGES = 64
+
+
 def ranked(hits: DataFrame, k: int) -> DataFrame:
-    """The k best hits per question, numbered from 1. Each task first cuts its own to k."""
-    order = Window.partitionBy("query_id").orderBy("distance", "id")
-    return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    """The k best hits per question, numbered from 1, by distance and then id.
+
+    Each task first cuts its own to k, and the hits of one question from very many tasks
+    are cut again in ``MERGES`` places before they meet in one.
+    """
+    order = ("distance", "id")
+    place = F.pmod(F.spark_partition_id(), F.lit(MERGES)).alias("__place")
+    part = Window.partitionBy("query_id", "__place").orderBy(*order)
+    cut = hits.select("*", place).withColumn("rank", F.row_number().over(part))
+    cut = cut.where(F.col("rank") <= k).drop("rank", "__place")
+    whole = Window.partitionBy("query_id").orderBy(*order)
+    return cut.withColumn("rank", F.row_number().over(whole)).where(F.col("rank") <= k)

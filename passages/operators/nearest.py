@@ -1,8 +1,8 @@
 """Scoring of one block of vectors against one block of questions.
 
-Squared L2 distances, rounded; equal distances are ordered by id. Only the best k
-per question leave a block, never the scored pairs. A matrix product finds the
-candidates and the differences of the vectors give their distances.
+Squared L2 distances; equal distances are ordered by id. Only the best k per question
+leave a block, never the scored pairs. A matrix product finds the candidates and the
+differences of the vectors give their distances, summed in the order of the dimensions.
 """
 
 from collections.abc import Iterable, Iterator
@@ -11,9 +11,6 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-DECIMALS = 6
-# A vector whose distance exceeds a bound by no more than this may round to it.
-ROUNDING = 10.0**-DECIMALS
 # Error of a distance by the product, as a share of the squares it is made of.
 PRODUCT_ERROR = 1e-13
 # Distances held at once, rows that are scored first, candidates measured at once.
@@ -34,6 +31,14 @@ def matrix(vectors: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
     return flat.astype(np.float64).reshape(-1, dim)
 
 
+def of_length(vectors: pa.Array, dim: int) -> np.ndarray:
+    """Mask of the vectors of ``dim`` finite numbers in an Arrow list column."""
+    right = pc.fill_null(pc.equal(pc.list_value_length(vectors), dim), False)
+    mask = np.array(right.to_numpy(zero_copy_only=False))
+    mask[mask] = finite(matrix(vectors.filter(right), dim))
+    return mask
+
+
 def finite(vectors: np.ndarray) -> np.ndarray:
     """Mask of the rows without a missing or infinite number."""
     return np.isfinite(vectors).all(axis=1)
@@ -44,6 +49,14 @@ def squared_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum(d, 0.0)
 
 
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Squared distances of row to row; the same for the same rows, wherever they meet."""
+    total = np.zeros(len(a))
+    for dimension in (a - b).T:
+        total += dimension * dimension
+    return total
+
+
 def tiles(rows: int, columns: int) -> Iterator[slice]:
     """Slices of rows whose product with the columns is held at once."""
     step = max(1, _TILE // max(columns, 1))
@@ -107,11 +120,11 @@ class Best:
     def _score(self, ids: pa.Array, vectors: np.ndarray) -> None:
         squares = (vectors * vectors).sum(axis=1, keepdims=True)
         factors = np.hstack([vectors, squares]).T
-        rows, columns, distances = [], [], []
+        rows, columns, measured = [], [], []
         for tile in tiles(len(self.questions), len(vectors)):
             d = self.factors[tile] @ factors
             square = self.squares[tile]
-            slack = ROUNDING + PRODUCT_ERROR * (square + squares.max())
+            slack = PRODUCT_ERROR * (square + squares.max())
             cut = self.bounds[tile] - square + slack
             near = np.flatnonzero(d <= cut[:, None])
             if len(near) > _CROWDED * self.k * len(d) and d.shape[1] > self.k:
@@ -125,13 +138,13 @@ class Best:
             best = best[_leading(row[best], self.k)]
             rows.append(row[best])
             columns.append(column[best])
-            distances.append(value[best])
+            measured.append(value[best])
         columns = np.concatenate(columns)
         if len(columns):
             fresh = pa.table(
                 {
                     "query": pa.array(np.concatenate(rows), pa.int64()),
-                    "distance": pa.array(np.concatenate(distances), pa.float64()),
+                    "distance": pa.array(np.concatenate(measured), pa.float64()),
                     "id": ids.take(pa.array(columns)),
                 }
             )
@@ -141,9 +154,8 @@ class Best:
         measured = np.empty(len(row))
         for i in range(0, len(row), _MEASURED):
             part = slice(i, i + _MEASURED)
-            gaps = self.questions[row[part]] - vectors[column[part]]
-            measured[part] = np.einsum("ij,ij->i", gaps, gaps)
-        return np.round(measured, DECIMALS)
+            measured[part] = distances(self.questions[row[part]], vectors[column[part]])
+        return measured
 
     def _merge(self, fresh: pa.Table) -> None:
         merged = pa.concat_tables([self.found, fresh]).sort_by(_ORDER)

@@ -2,6 +2,7 @@
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -9,66 +10,61 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from passages.operators import nearest
-from passages.operators.cells import Cells, fit_cells, search_cells
+from passages.operators.cells import Cells, search_cells
 from passages.operators.embedding import valid_embeddings
 from passages.operators.hits import hit_schema, ranked
 from passages.sources.checkpoints import materialised
 
-# Questions are sent to every task only up to this size; more go by cells.
+# Questions go to every task in blocks of this size, which also bounds a task's hits.
 BROADCAST_BYTES = 32 << 20
-# So many questions are fetched before their size is known.
-FEW = 4096
-# Tasks of the scan at most, and so, times k, the hits of a question that are merged.
-SCAN_TASKS = 1 << 14
-# What a question takes besides its vector, and what a hit takes.
-ID_BYTES = 64
-HIT_BYTES = 128
-# Hits go to every task when joined to the passages, which else are shuffled, up to this.
-BROADCAST_HITS_BYTES = 256 << 20
-
-
-def dimension(vectors: pa.Table) -> int | None:
-    """Length of the vectors that come first and are not null."""
-    known = vectors["embedding"].drop_null()
-    return len(known[0]) if len(known) else None
-
-
-def _valid(questions: pa.Table, dim: int) -> pa.Table:
-    lengths = pc.list_value_length(questions["embedding"])
-    questions = questions.filter(pc.fill_null(pc.equal(lengths, dim), False))
-    return questions.filter(pa.array(nearest.finite(nearest.matrix(questions["embedding"], dim))))
+# What a hit takes in a task, besides its id.
+HIT_BYTES = 64
 
 
 def scan_nearest(
-    questions: pa.Table, vectors: DataFrame, dim: int, k: int, schema: StructType
+    questions: pa.Table, vectors: DataFrame, k: int, schema: StructType
 ) -> DataFrame:
-    """One pass over the vectors, with all questions at every task.
+    """One pass over the vectors, with all of ``questions`` at every task.
 
-    Vectors are neither shuffled nor collected; each task returns k hits per question.
-    Beyond ``SCAN_TASKS`` partitions a task takes several, without a shuffle.
+    Vectors are neither shuffled nor collected; each task returns k hits per question. A
+    question is compared with the vectors of its own length.
     """
-    session = vectors.sparkSession
-    shared = session.sparkContext.broadcast(
-        (questions["query_id"].combine_chunks(), nearest.matrix(questions["embedding"], dim))
-    )
+    lengths = pc.list_value_length(questions["embedding"]).combine_chunks()
+    blocks = []
+    for dim in pc.unique(lengths).drop_null().to_pylist():
+        own = questions.filter(pc.equal(lengths, dim)).combine_chunks()
+        own = own.filter(pa.array(nearest.finite(nearest.matrix(own["embedding"], dim))))
+        if dim and own.num_rows:
+            ids = own["query_id"].combine_chunks()
+            blocks.append((dim, ids, nearest.matrix(own["embedding"], dim)))
+    shared = vectors.sparkSession.sparkContext.broadcast(blocks)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        query_ids, matrix = shared.value
-        best = None
+        best: dict[int, nearest.Best] = {}
         for batch in batches:
-            if best is None:
-                best = nearest.Best(matrix, k, batch.schema.field("id").type)
-            best.add(batch["id"], nearest.matrix(batch["embedding"], dim))
-        if best is not None:
-            yield from best.result(query_ids).to_batches()
-
-    rows = valid_embeddings(vectors.select("id", "embedding"), dim)
-    return ranked(rows.coalesce(SCAN_TASKS).mapInArrow(scan, schema), k)
-
-
-def _marked(hits: DataFrame, questions: int, k: int) -> DataFrame:
-    """Hits marked to be broadcast by a join, if there are few enough at most."""
-    return F.broadcast(hits) if questions * k * HIT_BYTES <= BROADCAST_HITS_BYTES else hits
+            for dim, _, matrix in shared.value:
+                mask = pa.array(nearest.of_length(batch["embedding"], dim))
+                own = batch.filter(mask)
+                if dim not in best:
+                    best[dim] = nearest.Best(matrix, k, batch.schema.field("id").type)
+                best[dim].add(own["id"], nearest.matrix(own["embedding"], dim))
+        for dim, query_ids, _ in shared.value:
+            if dim in best:
+                yield from best[dim].result(query_ids).to_batches()
+
+    rows = vectors.select("id", "embedding").where("embedding is not null")
+    return rows.mapInArrow(scan, schema)
+
+
+def unsearchable(vectors: DataFrame, dim: int, embedding: str = "embedding") -> DataFrame:
+    """The rows that a search for vectors of ``dim`` numbers passes over: null, another
+    length, or a number that is missing or infinite."""
+    usable = F.coalesce(
+        (F.size(embedding) == dim)
+        & F.forall(embedding, lambda x: x.isNotNull() & (F.abs(x) < float("inf"))),
+        F.lit(False),
+    )
+    return vectors.where(~usable)
 
 
 def nearest_passages(
@@ -77,43 +73,49 @@ def nearest_passages(
     k: int = 5,
     broadcast_bytes: int = BROADCAST_BYTES,
     cells: Cells | None = None,
+    first_cells: int = 4,
+    complete: bool = True,
 ) -> DataFrame:
     """``query_id, id, distance, rank`` of the k nearest vectors of each question.
 
     ``questions(query_id, embedding)`` and ``vectors(id, embedding)`` have unique ids.
-    Questions that fit ``broadcast_bytes`` go to every task of one scan. Beyond it, or
-    with ``cells``, questions meet vectors cell by cell, with the same result. Vectors
-    that are null, of another length than the questions' or not finite are passed over.
+    Questions go to every task of a scan of the vectors, in as many blocks, and so scans,
+    as their measured size and that of their hits ask for; vectors are not shuffled. A
+    question finds the vectors of its own length; null vectors and those with numbers
+    that are not finite find nothing and are not found (``unsearchable`` lists them).
+
+    With ``cells``, questions meet the vectors of the cells instead, with the same result
+    unless ``complete=False`` stops after the ``first_cells`` of each question.
 
     The questions are computed here, when the plan is made, and only once, so that a
-    model that embeds them is not called again. The vectors should come from a table:
-    the scan reads them once, the way by cells several times.
+    model that embeds them is not called again. Vectors should come from a table, as each
+    block of questions reads them.
     """
-    session, schema = vectors.sparkSession, hit_schema(questions, vectors)
+    schema = hit_schema(questions, vectors)
     # Renewed, as questions and vectors may be columns of one table.
-    questions = questions.select(
-        F.col("query_id").alias("query_id"), F.col("embedding").alias("embedding")
+    questions = materialised(
+        questions.select(
+            F.col("query_id").alias("query_id"), F.col("embedding").alias("embedding")
+        ).where("embedding is not null")
     )
-    many = questions.select("query_id").limit(FEW + 1).count() > FEW
-    if many:
-        questions = materialised(questions)
-    known = questions.where("embedding is not null")
-    found = known.limit(FEW + 1).toArrow()
-    dim = dimension(found)
-    if dim is None:
-        return ranked(session.createDataFrame([], schema), k)
-
-    limit = broadcast_bytes // (8 * dim + ID_BYTES)
-    few = cells is None and found.num_rows <= limit
-    if many and few:
-        found = valid_embeddings(known, dim).limit(limit + 1).toArrow()
-        few = found.num_rows <= limit
-    if few:
-        found = _valid(found, dim)
-        return _marked(scan_nearest(found, vectors, dim, k, schema), found.num_rows, k)
-    if not many:
-        known = session.createDataFrame(found, questions.schema)
-    known = valid_embeddings(known, dim)
-    if cells is None:
-        cells = fit_cells(valid_embeddings(vectors, dim), dim)
-    return _marked(ranked(search_cells(known, cells, k, schema), k), known.count(), k)
+    if cells is not None:
+        known = valid_embeddings(questions, cells.centers.shape[1])
+        return ranked(search_cells(known, cells, k, schema, first_cells, complete), k)
+    size = questions.agg(
+        F.sum(
+            8 * F.size("embedding").cast("long")
+            + F.coalesce(F.octet_length(F.col("query_id").cast("string")), F.lit(0))
+        ).alias("bytes"),
+        F.count("*").alias("n"),
+    ).first()
+    wanted = max((size["bytes"] or 0) + size["n"] * k * HIT_BYTES, 1)
+    blocks = -(-wanted // max(broadcast_bytes, 1))
+    found = None
+    for block in range(blocks):
+        part = questions
+        if blocks > 1:
+            number = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+            part = questions.where(number == block)
+        hits = scan_nearest(part.toArrow(), vectors, k, schema)
+        found = hits if found is None else found.unionAll(hits)
+    return ranked(found, k)

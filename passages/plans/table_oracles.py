@@ -111,12 +111,17 @@ def _vectors(name: str, source: str, key: str, text: str) -> str:
 
 
 def _distance(a: str, b: str) -> str:
+    """Squares summed in the order of the dimensions, so that equal distances stay equal."""
     return (
-        f"round(list_sum(list_transform(list_zip({a}, {b}), lambda z:"
-        " (z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE))), 6)"
+        f"list_reduce(list_transform(list_zip({a}, {b}), lambda z:"
+        " (z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE)), lambda x, y: x + y)"
     )
 
 
+def _rounded(hits: str) -> str:
+    return f"SELECT query_id, id, round(distance, 6) AS distance, rank FROM ({hits})"
+
+
 def _ranked(pairs: str) -> str:
     return (
         "SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank"
@@ -124,10 +129,20 @@ def _ranked(pairs: str) -> str:
     )
 
 
-KNN = _ranked(
-    f"SELECT q.vec_id AS query_id, e.vec_id AS id, {_distance('q.embedding', 'e.embedding')}"
-    " AS distance FROM embeddings q, embeddings e"
-)
+def _knn(vector: str) -> str:
+    """Neighbours among vectors of the same length, of which every number is finite."""
+    own = (
+        f"SELECT vec_id, {vector} AS v FROM embeddings"
+        " WHERE len(list_filter(v, lambda x: NOT isfinite(x))) = 0"
+    )
+    pairs = (
+        f"SELECT q.vec_id AS query_id, e.vec_id AS id, {_distance('q.v', 'e.v')} AS distance"
+        f" FROM ({own}) q JOIN ({own}) e ON len(q.v) = len(e.v)"
+    )
+    return _rounded(_ranked(pairs))
+
+
+KNN = _knn("embedding")
 
 LONG_VECTORS = f"""
 WITH {PASSAGES}, {_vectors("vectors", "passages", "id", "content")}
@@ -202,7 +217,13 @@ SELECT doc_id::VARCHAR AS video_id, {_count("text")} AS n_tokens FROM documents"
     "chunk_vectors_udf": LONG_VECTORS,
     "knn_exact": KNN,
     "knn_ivf": KNN,
-    "question_retrieval": f"{_RETRIEVAL} SELECT query_id, id, distance, rank FROM hits",
+    "knn_stored_cells": KNN,
+    "knn_close": _knn("list_transform(embedding, lambda x: (x * 0.0001::DOUBLE)::FLOAT)"),
+    "knn_odd_vectors": _knn(
+        "CASE vec_id % 10 WHEN 0 THEN embedding[1:1] WHEN 1 THEN NULL"
+        " WHEN 2 THEN list_concat(embedding[1:63], ['NaN'::FLOAT]) ELSE embedding END"
+    ),
+    "question_retrieval": f"{_RETRIEVAL} {_rounded('FROM hits')}",
     "retrieved_context": f"""{_RETRIEVAL}
 SELECT query_id, rank, id, video_id, title, content FROM hits JOIN passages USING (id)""",
     "rag_prompts": f"""{_RETRIEVAL}

@@ -5,10 +5,13 @@ conversations for captions (turn is the start, role the language), benchmark ite
 for questions.
 """
 
+from uuid import uuid4
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from passages.functions.text import playlist_id, pretoken_count, published_at
+from passages.operators.cells import fit_cells, read_cells, write_cells
 from passages.operators.chunking import chunk_content, chunk_words
 from passages.operators.compare import frame_diff, sort_nulls_last, with_row_index
 from passages.operators.context import contexts, retrieved
@@ -24,6 +27,7 @@ from passages.operators.transcripts import (
     video_transcripts,
 )
 from passages.schemas import PLAYLIST_PAGE
+from passages.sources.checkpoints import use_checkpoints
 from passages.sources.landing import captions_in_language, channel_videos, distinct_videos
 from passages.sources.spread import spread
 
@@ -240,7 +244,12 @@ def chunk_vectors_udf(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _hits(hits: DataFrame) -> DataFrame:
-    return hits.select("query_id", "id", "distance", F.col("rank").cast("bigint").alias("rank"))
+    return hits.select(
+        "query_id",
+        "id",
+        F.round("distance", 6).alias("distance"),
+        F.col("rank").cast("bigint").alias("rank"),
+    )
 
 
 def _vector_table(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
@@ -255,9 +264,42 @@ def knn_exact(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def knn_ivf(spark: SparkSession, folder: str) -> DataFrame:
-    """The same by cells, the way for questions too many to send to every task."""
+    """The same with the questions in four blocks, the way for too many at once."""
+    questions, vectors = _vector_table(spark, folder)
+    limit = questions.count() * (8 * DIM + 64 * K) // 4 + 1
+    return _hits(nearest_passages(questions, spread(vectors), K, broadcast_bytes=limit))
+
+
+def knn_stored_cells(spark: SparkSession, folder: str) -> DataFrame:
+    """The same by cells that were fitted, written and read again."""
     questions, vectors = _vector_table(spark, folder)
-    return _hits(nearest_passages(questions, vectors, K, broadcast_bytes=0))
+    use_checkpoints(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/cells_{uuid4().hex}"
+    write_cells(fit_cells(vectors, DIM), path)
+    return _hits(nearest_passages(questions, vectors, K, cells=read_cells(spark, path)))
+
+
+def knn_close(spark: SparkSession, folder: str) -> DataFrame:
+    """Vectors so close that their distances agree in the first six decimals."""
+    _, vectors = _vector_table(spark, folder)
+    close = F.transform("embedding", lambda x: (x.cast("double") * 1e-4).cast("float"))
+    vectors = vectors.withColumn("embedding", close)
+    return _hits(nearest_passages(vectors.withColumnRenamed("id", "query_id"), spread(vectors), K))
+
+
+def knn_odd_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    """One vector in ten has one number, one is null, one has a number that is missing."""
+    _, vectors = _vector_table(spark, folder)
+    kind = F.col("id") % 10
+    odd = (
+        F.when(kind == 0, F.slice("embedding", 1, 1))
+        .when(kind == 1, F.lit(None))
+        .when(kind == 2, F.concat(F.slice("embedding", 1, 63), F.array(F.lit("NaN").cast("float"))))
+        .otherwise(F.col("embedding"))
+    )
+    vectors = vectors.withColumn("embedding", odd)
+    questions = vectors.withColumnRenamed("id", "query_id").orderBy("query_id")
+    return _hits(nearest_passages(questions, spread(vectors), K))
 
 
 def question_retrieval(spark: SparkSession, folder: str) -> DataFrame:
@@ -345,6 +387,9 @@ QUERIES = {
     "chunk_vectors_udf": chunk_vectors_udf,
     "knn_exact": knn_exact,
     "knn_ivf": knn_ivf,
+    "knn_stored_cells": knn_stored_cells,
+    "knn_close": knn_close,
+    "knn_odd_vectors": knn_odd_vectors,
     "question_retrieval": question_retrieval,
     "retrieved_context": retrieved_context,
     "rag_prompts": rag_prompts,

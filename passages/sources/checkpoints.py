@@ -4,13 +4,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def use_checkpoints(spark: SparkSession) -> None:
-    """Set the checkpoint folder that the session names, or one next to its warehouse."""
+    """Set the checkpoint folder that the session names in ``spark.checkpoint.dir``.
+
+    Without one, a local session gets one next to its warehouse. On a cluster that would
+    be a folder of one machine, unless the warehouse is in a shared store: an error.
+    """
     context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        warehouse = spark.conf.get("spark.sql.warehouse.dir")
-        context.setCheckpointDir(
-            spark.conf.get("spark.checkpoint.dir", None) or f"{warehouse}/_checkpoints"
-        )
+    if context.getCheckpointDir() is not None:
+        return
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
+        own_machine = folder.startswith(("file:", "/"))
+        if own_machine and not context.master.startswith(("local[", "local-cluster")) and context.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    context.setCheckpointDir(folder)
 
 
 def materialised(df: DataFrame) -> DataFrame:
