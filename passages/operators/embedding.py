@@ -12,15 +12,28 @@ from passages.functions.text import words
 
 # Fixed value: texts per call of the model.
 CALL_SIZE = 150
+VECTORS = pa.list_(pa.float32())
+# Numbers of vectors that are counted at once.
+_TILE = 1 << 22
 
 Model = Callable[[list[str]], list]
 
 
+def in_calls(model: Callable[[list[str]], list], texts: list[str], call_size: int) -> Iterator:
+    """The texts and results of each call; a wrong number of results fails the job."""
+    for i in range(0, len(texts), call_size):
+        asked = texts[i : i + call_size]
+        results = list(model(asked))
+        if len(results) != len(asked):
+            raise RuntimeError(f"the model gave {len(results)} results for {len(asked)} texts")
+        yield asked, results
+
+
 def _call(model: Model, texts: list[str], one_by_one: bool) -> list:
     """Vectors of one call. A ValueError leaves the whole call without vectors, or,
     asked to go one by one, only the texts that raise it again alone."""
     try:
-        return list(model(texts))
+        return [v for _, results in in_calls(model, texts, len(texts)) for v in results]
     except ValueError:
         if not one_by_one or len(texts) == 1:
             return [None] * len(texts)
@@ -39,21 +52,23 @@ def add_embedding(
 
     ``make_model()`` runs once per task and returns a function from a list of texts
     to a list of vectors, which is called with at most ``call_size`` texts. A call
-    that raises ValueError gives null vectors, any other error fails the job. A null
-    text is not sent and has a null vector.
+    that raises ValueError gives null vectors, any other error fails the job, and so does
+    a wrong number of vectors. A null text is not sent and has a null vector.
     """
 
     @F.arrow_udf("array<float>")
     def embed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = make_model()
         for batch in batches:
-            texts = batch.drop_null().to_pylist()
-            vectors: list = []
+            texts = batch.drop_null()
+            parts = [pa.array([], VECTORS)]
             for i in range(0, len(texts), call_size):
-                vectors += _call(model, texts[i : i + call_size], retry_one_by_one)
-            found = iter(vectors)
-            known = batch.is_valid().to_pylist()
-            yield pa.array([next(found) if k else None for k in known], pa.list_(pa.float32()))
+                called = _call(model, texts[i : i + call_size].to_pylist(), retry_one_by_one)
+                parts.append(pa.array(called, VECTORS))
+            known = batch.is_valid()
+            place = pa.compute.cumulative_sum(known.cast(pa.int64()))
+            place = pa.compute.if_else(known, pa.compute.subtract(place, 1), None)
+            yield pa.concat_arrays(parts).take(place)
 
     # Not deterministic, so that a later filter on the vectors does not call it again.
     return df.withColumn(output, embed.asNondeterministic()(F.col(text)))
@@ -77,9 +92,17 @@ def word_buckets(text: Column, dim: int) -> Column:
 
 
 def _unit_counts(buckets: np.ndarray, row: np.ndarray, rows: int, dim: int) -> np.ndarray:
-    counts = np.bincount(row * dim + buckets, minlength=rows * dim).reshape(rows, dim)
-    norms = np.sqrt((counts.astype(np.float64) ** 2).sum(axis=1, keepdims=True))
-    return (counts / np.where(norms == 0, 1, norms)).astype(np.float32)
+    """Counts of the buckets of each row at unit length; ``row`` is sorted."""
+    vectors = np.empty((rows, dim), np.float32)
+    step = max(1, _TILE // dim)
+    for start in range(0, rows, step):
+        n = min(step, rows - start)
+        low, high = np.searchsorted(row, [start, start + n])
+        place = (row[low:high] - start) * dim + buckets[low:high]
+        counts = np.bincount(place, minlength=n * dim).reshape(n, dim)
+        norms = np.sqrt((counts.astype(np.float64) ** 2).sum(axis=1, keepdims=True))
+        vectors[start : start + n] = counts / np.where(norms == 0, 1, norms)
+    return vectors
 
 
 def _vector_array(vectors: np.ndarray, known: np.ndarray) -> pa.Array:

@@ -7,18 +7,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from passages.operators.embedding import in_calls
+
 PARAGRAPH = "\n\n"
 
-DEFAULT_TEMPLATE = """Answer the question with the help of these excerpts.
+DEFAULT_TEMPLATE = """You are given passages of transcripts, most relevant first, and a request.
+Rely on the passages alone; where they do not settle the request, say that they do not.
 
-<context>
+Passages:
 {context}
-</context>
-
-Question: {input}
 
-Answer:
-"""
+Request: {input}
+Reply:"""
+# Prompts per call of the model.
+CALL_SIZE = 16
 
 
 def stuffed(context: Column) -> Column:
@@ -59,17 +61,23 @@ def add_answer(
     make_model: Callable[[], Callable[[list[str]], list[str]]],
     prompt: str = "prompt",
     output: str = "answer",
+    call_size: int = CALL_SIZE,
 ) -> DataFrame:
     """Add the model's answer to each prompt.
 
-    ``make_model()`` runs once per task and returns a function from prompts to answers.
+    ``make_model()`` runs once per task and returns a function from prompts to answers,
+    which is called with at most ``call_size`` prompts. A null prompt is not sent and has
+    a null answer. Any error fails the job, and so does a wrong number of answers.
     """
 
     @F.arrow_udf("string")
     def answer(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = make_model()
         for batch in batches:
-            yield pa.array(list(model(batch.to_pylist())), pa.string())
+            asked = batch.drop_null().to_pylist()
+            answers = iter([a for _, part in in_calls(model, asked, call_size) for a in part])
+            known = batch.is_valid().to_pylist()
+            yield pa.array([next(answers) if k else None for k in known], pa.string())
 
     # Not deterministic, so that a later filter on the answers does not ask again.
     return df.withColumn(output, answer.asNondeterministic()(F.col(prompt)))

@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from passages.functions.text import join_text, watch_url
+from passages.schemas import FETCH_ERROR
 
 VIDEO_COLUMNS = ("channel_id", "video_id", "title", "publish_time")
 
@@ -44,17 +45,41 @@ def caption_text(
     return gathered.select(*keys, join_text(F.flatten("parts.part")).alias("content"))
 
 
+def _fetched(captions: DataFrame) -> DataFrame:
+    """``video_id, transcript`` of the fetches that did not fail, one row per video.
+
+    Of several landings of a video, the one with most captions counts, then the greatest.
+    """
+    if "error" in captions.columns:
+        captions = captions.where("error is null")
+    best = F.max(F.struct(F.size("transcript").alias("size"), "transcript")).alias("best")
+    return captions.groupBy("video_id").agg(best).select("video_id", "best.transcript")
+
+
 def video_transcripts(videos: DataFrame, captions: DataFrame) -> DataFrame:
-    """Videos with their captions ``video_id, transcript``; those without a row are left out."""
-    return videos.join(captions.select("video_id", "transcript"), "video_id").select(
+    """Videos with their captions ``video_id, transcript``; those without a row, or with a
+    failed fetch only, are left out. Captions landed twice count once."""
+    return videos.join(_fetched(captions), "video_id").select(
         F.struct(*VIDEO_COLUMNS).alias("video"), "transcript"
     )
 
 
 def missing_transcripts(videos: DataFrame, captions: DataFrame) -> DataFrame:
-    """Videos that ``video_transcripts`` leaves out, with the link to look them up."""
-    return videos.join(captions.select("video_id"), "video_id", "left_anti").withColumn(
-        "url", watch_url(F.col("video_id"))
+    """Videos that ``video_transcripts`` leaves out, with the link to look them up, and
+    ``error_type, error_cause`` where a failed fetch was landed."""
+    if "error" not in captions.columns:
+        captions = captions.select("video_id", F.lit(None).cast(FETCH_ERROR).alias("error"))
+    fetched = captions.where("error is null").select("video_id")
+    failed = captions.where("error is not null").groupBy("video_id").agg(F.max("error").alias("error"))
+    return (
+        videos.join(fetched, "video_id", "left_anti")
+        .join(failed, "video_id", "left")
+        .select(
+            *videos.columns,
+            watch_url(F.col("video_id")).alias("url"),
+            F.col("error.type").alias("error_type"),
+            F.col("error.cause").alias("error_cause"),
+        )
     )
 
 

@@ -5,6 +5,7 @@ from dataclasses import dataclass, fields
 from pathlib import Path
 
 
+# The names and defaults of the settings.
 @dataclass(frozen=True)
 class CommonParams:
     env: str

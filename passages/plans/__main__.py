@@ -29,6 +29,10 @@ def main(arguments: list[str] | None = None) -> None:
     )
     parser.add_argument("--questions", help="answers: table with query_id and input")
     parser.add_argument("--format", default="deltaSharing", help="answers: of the vector table")
+    parser.add_argument("--cells", help="answers: path of stored cells to search")
+    parser.add_argument(
+        "--first-cells", type=int, help="answers: stop after so many cells, approximately"
+    )
     options = parser.parse_args(arguments)
     needed = {
         "captions": ("pages", "captions"),
@@ -44,7 +48,8 @@ def main(arguments: list[str] | None = None) -> None:
     if options.job == "captions":
         pages = read_playlist_pages(spark, options.pages)
         landed = read_captions(spark, options.captions)
-        captions_job(spark, params.video_captions, pages, landed).show(truncate=False)
+        missing = captions_job(spark, params.video_captions, pages, landed).count()
+        print(f"{missing} videos without a transcript, see table missing_transcripts")
     elif options.job == "chunk":
         chunk_job(spark, params.chunk)
     elif options.job == "embedding":
@@ -52,7 +57,12 @@ def main(arguments: list[str] | None = None) -> None:
     else:
         questions = spark.read.table(options.questions)
         embedder, chat = _load(options.model), _load(options.chat)
-        answers_job(spark, params, questions, embedder, chat, options.format)
+        search = {}
+        if options.first_cells is not None:
+            search = {"first_cells": options.first_cells, "complete": False}
+        answers_job(
+            spark, params, questions, embedder, chat, options.format, options.cells, **search
+        )
 
 
 if __name__ == "__main__":

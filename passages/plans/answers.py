@@ -2,7 +2,8 @@
 
 from pyspark.sql import DataFrame
 
-from passages.operators.context import CONTEXT_FIELDS, contexts, retrieved
+from passages.operators.cells import Cells
+from passages.operators.context import CONTEXT_FIELDS, contexts, last_of_repeated, retrieved
 from passages.operators.prompts import DEFAULT_TEMPLATE, add_answer, prompts
 from passages.operators.search import nearest_passages
 
@@ -14,12 +15,22 @@ def question_prompts(
     template: str = DEFAULT_TEMPLATE,
     fields: tuple[str, ...] = CONTEXT_FIELDS,
     last_by: list[str] | None = None,
+    cells: Cells | None = None,
+    first_cells: int = 4,
+    complete: bool = True,
 ) -> DataFrame:
     """``query_id, input, context, prompt`` for ``questions(query_id, input, embedding)``.
 
-    ``passages`` hold ``id``, ``embedding`` and the fields of a context row.
+    ``passages`` hold ``id``, ``embedding`` and the fields of a context row. Of rows that
+    repeat an id, the last by ``last_by`` counts, in the search and in the context. With
+    ``cells``, which hold each id once, questions are answered from them, approximately
+    if not ``complete``.
     """
-    hits = nearest_passages(questions, passages, k)
+    if cells is None:
+        passages = last_of_repeated(passages, last_by)
+    hits = nearest_passages(
+        questions, passages, k, cells=cells, first_cells=first_cells, complete=complete
+    )
     found = contexts(retrieved(hits, passages, fields, last_by), fields)
     return prompts(questions, found, template)
 

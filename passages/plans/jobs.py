@@ -1,9 +1,9 @@
 """The batch jobs: each reads a table, applies operators and writes the next table."""
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from passages.operators.cells import read_cells
 from passages.operators.chunking import chunk_content
 from passages.operators.embedding import add_embedding
 from passages.operators.transcripts import (
@@ -19,8 +19,10 @@ from passages.schemas import (
     CONTENT,
     CONTENT_CHUNKS,
     CONTENT_CHUNKS_EMBEDDING,
+    MISSING_TRANSCRIPTS,
     TRANSCRIPTS,
 )
+from passages.sources.checkpoints import materialised
 from passages.sources.landing import captions_in_language, channel_videos
 from passages.sources.spread import spread
 from passages.sources.tables import qualified_name, read_shared, read_table, write_table
@@ -39,19 +41,19 @@ def captions_job(
 ) -> DataFrame:
     """Landed pages and captions to tables ``transcripts`` and ``content``.
 
-    Returns the videos that have no captions in the language.
+    The videos that have no captions in the language, with the reason where one was
+    landed, go to table ``missing_transcripts`` and are returned.
     """
     channel = spark.createDataFrame([(params.channel_id,)], "channel_id string")
     videos = channel_videos(pages, channel)
     spoken = captions_in_language(captions, params.language)
-    # Both tables come from this join; on disk so that it is done once.
-    transcripts = video_transcripts(videos, spoken).persist(StorageLevel.DISK_ONLY)
-    try:
-        _write(spark, params, flatten_transcripts(transcripts), TRANSCRIPTS, "transcripts")
-        _write(spark, params, transcript_content(transcripts), CONTENT, "content")
-    finally:
-        transcripts.unpersist()
-    return missing_transcripts(videos, spoken)
+    # Both tables come from this join, which is done once.
+    transcripts = materialised(video_transcripts(videos, spoken))
+    _write(spark, params, flatten_transcripts(transcripts), TRANSCRIPTS, "transcripts")
+    _write(spark, params, transcript_content(transcripts), CONTENT, "content")
+    missing = missing_transcripts(videos, spoken)
+    _write(spark, params, missing, MISSING_TRANSCRIPTS, "missing_transcripts")
+    return _read(spark, params, "missing_transcripts")
 
 
 def chunk_job(spark: SparkSession, params: ChunkParams, counter=None) -> None:
@@ -79,17 +81,22 @@ def answers_job(
     make_embedding_model,
     make_chat_model,
     fmt: str = "deltaSharing",
+    cells_path: str | None = None,
     **options,
 ) -> None:
     """Answers to ``questions(query_id, input)`` to table ``answers``.
 
-    The vector table is read from the retriever's address. Both models run on the
-    workers: ``make_embedding_model(endpoint_name)`` and
+    The vector table is read from the retriever's address, and the cells to search, if
+    any, from ``cells_path``; ``first_cells`` and ``complete`` are options. Of passages that
+    repeat an id, the last by time of publication counts. Both models run on the workers: ``make_embedding_model(endpoint_name)`` and
     ``make_chat_model(endpoint_name, temperature, max_tokens)``.
     """
     embedder, chat = params.embedding.endpoint_name, params.chat
     vectors = read_shared(spark, params.retriever.table_url, fmt)
     asked = questions.select(F.col("query_id").cast("string").alias("query_id"), "input")
+    if cells_path is not None:
+        options["cells"] = read_cells(spark, cells_path)
+    options.setdefault("last_by", ["publish_time"])
     embedded = add_embedding(spread(asked), lambda: make_embedding_model(embedder), text="input")
     answers = answer_questions(
         embedded,

@@ -3,7 +3,7 @@
 from passages.functions.text import PRETOKEN, WATCH_URL, WHITESPACE
 from passages.operators.chunking import RESERVED_TOKENS
 from passages.operators.prompts import DEFAULT_TEMPLATE
-from passages.plans.table_queries import CHUNK_OVERLAP, CHUNK_SIZE, DIM, K
+from passages.plans.table_queries import CHUNK_OVERLAP, CHUNK_SIZE, DIM, LATER, REFUSED, K
 
 
 def _quoted(text: str) -> str:
@@ -193,6 +193,12 @@ FROM ({TRANSCRIPTS}) GROUP BY channel_id, video_id, title""",
     "missing_transcripts": f"""
 SELECT source AS channel_id, doc_id::VARCHAR AS video_id, lang AS title,
        {_quoted(WATCH_URL)} || doc_id AS url
+FROM documents WHERE NOT EXISTS (FROM conversations WHERE conv_id = doc_id)""",
+    "caption_failures": f"""
+SELECT source AS channel_id, doc_id::VARCHAR AS video_id, lang AS title,
+       {_quoted(WATCH_URL)} || doc_id AS url,
+       CASE WHEN lang = 'en' THEN 'NotFound' END AS error_type,
+       CASE WHEN lang = 'en' THEN 'no captions of ' || doc_id END AS error_cause
 FROM documents WHERE NOT EXISTS (FROM conversations WHERE conv_id = doc_id)""",
     "transcripts_flat": f"""
 SELECT channel_id, video_id, title, turn::DOUBLE AS start, caption AS text
@@ -215,6 +221,7 @@ SELECT doc_id::VARCHAR AS video_id, {_count("text")} AS n_tokens FROM documents"
     "chunks_tokens_small": _chunks_tokens("content", 10, 2),
     "chunk_vectors": LONG_VECTORS,
     "chunk_vectors_udf": LONG_VECTORS,
+    "failed_texts": f"SELECT doc_id FROM documents WHERE contains(text, {_quoted(REFUSED)})",
     "knn_exact": KNN,
     "knn_ivf": KNN,
     "knn_stored_cells": KNN,
@@ -226,6 +233,12 @@ SELECT doc_id::VARCHAR AS video_id, {_count("text")} AS n_tokens FROM documents"
     "question_retrieval": f"{_RETRIEVAL} {_rounded('FROM hits')}",
     "retrieved_context": f"""{_RETRIEVAL}
 SELECT query_id, rank, id, video_id, title, content FROM hits JOIN passages USING (id)""",
+    "context_repeated_ids": f"""{_RETRIEVAL}
+SELECT query_id, rank, id, video_id, title, content || {_quoted(LATER)} AS content
+FROM hits JOIN passages USING (id)""",
+    "table_overwrite": """
+SELECT doc_id, lang, source, CASE WHEN lang = 'fr' THEN n_chars + 1 ELSE n_chars END AS n_chars
+FROM documents WHERE lang <> 'fr' OR n_chars > 500""",
     "rag_prompts": f"""{_RETRIEVAL}
 SELECT query_id, any_value(b.text) AS input, {_PROMPT} AS prompt
 FROM {_ANSWERABLE} GROUP BY query_id""",

@@ -7,15 +7,21 @@ for questions.
 
 from uuid import uuid4
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from passages.functions.text import playlist_id, pretoken_count, published_at
 from passages.operators.cells import fit_cells, read_cells, write_cells
 from passages.operators.chunking import chunk_content, chunk_words
 from passages.operators.compare import frame_diff, sort_nulls_last, with_row_index
-from passages.operators.context import contexts, retrieved
-from passages.operators.embedding import add_embedding, add_lexical_embedding, lexical_model
+from passages.operators.context import contexts, last_of_repeated, retrieved
+from passages.operators.embedding import (
+    add_embedding,
+    add_lexical_embedding,
+    failed_embeddings,
+    lexical_model,
+)
 from passages.operators.prompts import add_answer, prompts
 from passages.operators.search import nearest_passages
 from passages.operators.transcripts import (
@@ -26,16 +32,19 @@ from passages.operators.transcripts import (
     transcript_content,
     video_transcripts,
 )
-from passages.schemas import PLAYLIST_PAGE
+from passages.schemas import FETCH_ERROR, PLAYLIST_PAGE
 from passages.sources.checkpoints import use_checkpoints
 from passages.sources.landing import captions_in_language, channel_videos, distinct_videos
 from passages.sources.spread import spread
+from passages.sources.tables import write_table
 
 DIM = 64
 K = 5
 CHUNK_SIZE, CHUNK_OVERLAP = 50, 5
 # Turns per stretch when captions are gathered; a stretch is in seconds elsewhere.
 STRETCH_TURNS = 4.0
+# What the model of ``failed_texts`` refuses, and what marks a later copy.
+REFUSED, LATER = " und ", " (later)"
 # Fields of a context row that documents have.
 FIELDS = ("id", "video_id", "title", "content")
 
@@ -113,14 +122,21 @@ def _pages(spark: SparkSession, folder: str) -> DataFrame:
     )
     error = PLAYLIST_PAGE["error"].dataType
     uploads_only = F.length("source") > 4
+    along = Window.partitionBy("source").orderBy("page")
+    token = F.concat(F.lit("page "), F.col("page").cast("string"))
     pages = (
         _table(spark, folder, "documents")
         .groupBy("source", F.floor(F.col("doc_id") / 50).alias("page"))
         .agg(F.collect_list(F.struct(snippet.alias("snippet"))).alias("items"))
+        # The first page is asked for without a token, the last one names no other.
+        .withColumn("pageToken", F.when(F.lag("page").over(along).isNotNull(), token))
+        .withColumn("nextPageToken", F.lead(token).over(along))
         .select(
             F.when(uploads_only, playlist_id(F.col("source"), "UU"))
             .otherwise(playlist_id(F.col("source")))
             .alias("playlist_id"),
+            "pageToken",
+            "nextPageToken",
             "items",
             F.lit(None).cast(error).alias("error"),
         )
@@ -132,6 +148,8 @@ def _pages(spark: SparkSession, folder: str) -> DataFrame:
         .distinct()
         .select(
             playlist_id(F.col("source")).alias("playlist_id"),
+            F.lit(None).cast("string").alias("pageToken"),
+            F.lit(None).cast("string").alias("nextPageToken"),
             F.lit(None).cast(pages.schema["items"].dataType).alias("items"),
             F.struct(F.lit(404).alias("status_code")).alias("error"),
         )
@@ -181,6 +199,27 @@ def missing_transcripts_query(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def caption_failures(spark: SparkSession, folder: str) -> DataFrame:
+    """The reason of a missing transcript, landed for the documents in one language."""
+    captions = _nested_captions(spark, folder)
+    landed = captions.withColumn("error", F.lit(None).cast(FETCH_ERROR))
+    cause = F.concat(F.lit("no captions of "), F.col("video_id"))
+    failures = (
+        _videos(spark, folder)
+        .where("title = 'en'")
+        .join(captions.select("video_id"), "video_id", "left_anti")
+        .select(
+            "video_id",
+            F.lit(None).cast(landed.schema["transcript"].dataType).alias("transcript"),
+            F.struct(F.lit("NotFound").alias("type"), cause.alias("cause")).alias("error"),
+        )
+    )
+    landed = landed.select("video_id", "transcript", "error").unionByName(failures)
+    return missing_transcripts(_videos(spark, folder), landed).select(
+        "channel_id", "video_id", "title", "url", "error_type", "error_cause"
+    )
+
+
 def transcripts_flat(spark: SparkSession, folder: str) -> DataFrame:
     return flatten_transcripts(_transcripts(spark, folder)).select(
         "channel_id", "video_id", "title", "start", "text"
@@ -243,6 +282,25 @@ def chunk_vectors_udf(spark: SparkSession, folder: str) -> DataFrame:
     return _long_vectors(add_embedding(_passages(spark, folder), lambda: lexical_model(DIM)))
 
 
+def _refusing_model():
+    """A model that refuses texts with a certain word."""
+    embed = lexical_model(DIM)
+
+    def model(texts):
+        if any(REFUSED in text for text in texts):
+            raise ValueError(REFUSED)
+        return embed(texts)
+
+    return model
+
+
+def failed_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents without a vector, as the model refuses them."""
+    texts = spread(_table(spark, folder, "documents").select("doc_id", "text"))
+    embedded = add_embedding(texts, lambda: _refusing_model(), "text", retry_one_by_one=True)
+    return failed_embeddings(embedded).select("doc_id")
+
+
 def _hits(hits: DataFrame) -> DataFrame:
     return hits.select(
         "query_id",
@@ -316,6 +374,38 @@ def retrieved_context(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("query_id", F.col("rank").cast("bigint").alias("rank"), *FIELDS)
 
 
+def context_repeated_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """Passages beside a later copy of each, which is the one that counts."""
+    first = _vectors(spark, folder).select(*FIELDS, "embedding", F.lit(0).alias("version"))
+    later = first.withColumn("content", F.concat("content", F.lit(LATER)))
+    passages = first.unionByName(later.withColumn("version", F.lit(1)))
+    hits = nearest_passages(
+        _questions(spark, folder), last_of_repeated(passages, ["version"]), K
+    )
+    rows = retrieved(hits, passages, FIELDS, ["version"])
+    return rows.select("query_id", F.col("rank").cast("bigint").alias("rank"), *FIELDS)
+
+
+def table_overwrite(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents in a table by language, of which one language is written again, altered."""
+    use_checkpoints(spark)
+    name = f"overwritten_{uuid4().hex}"
+    path = f"{spark.sparkContext.getCheckpointDir()}/{name}"
+    docs = _table(spark, folder, "documents").select("lang", "doc_id", "source", "n_chars")
+    schema = StructType(
+        [
+            StructField("doc_id", LongType()),
+            StructField("lang", StringType()),
+            StructField("source", StringType()),
+            StructField("n_chars", LongType()),
+        ]
+    )
+    write_table(spark, docs, schema, name, partition_cols=["lang"], path=path)
+    altered = docs.where("lang = 'fr' AND n_chars > 500").withColumn("n_chars", F.col("n_chars") + 1)
+    write_table(spark, altered, schema, name, partition_cols=["lang"], path=path)
+    return spark.table(name).select("doc_id", "lang", "source", "n_chars")
+
+
 def _prompts(spark: SparkSession, folder: str) -> DataFrame:
     found = contexts(_retrieved(spark, folder), FIELDS)
     return prompts(_questions(spark, folder), found)
@@ -375,6 +465,7 @@ QUERIES = {
     "captions_by_language": captions_by_language,
     "video_transcripts": video_transcripts_query,
     "missing_transcripts": missing_transcripts_query,
+    "caption_failures": caption_failures,
     "transcripts_flat": transcripts_flat,
     "content": content,
     "content_from_captions": content_from_captions,
@@ -385,6 +476,7 @@ QUERIES = {
     "chunks_tokens_small": chunks_tokens_small,
     "chunk_vectors": chunk_vectors,
     "chunk_vectors_udf": chunk_vectors_udf,
+    "failed_texts": failed_texts,
     "knn_exact": knn_exact,
     "knn_ivf": knn_ivf,
     "knn_stored_cells": knn_stored_cells,
@@ -392,6 +484,8 @@ QUERIES = {
     "knn_odd_vectors": knn_odd_vectors,
     "question_retrieval": question_retrieval,
     "retrieved_context": retrieved_context,
+    "context_repeated_ids": context_repeated_ids,
+    "table_overwrite": table_overwrite,
     "rag_prompts": rag_prompts,
     "rag_answers": rag_answers,
     "frame_diff": frame_diff_query,

@@ -47,9 +47,11 @@ ANSWERS = _struct(
     query_id=StringType(), input=StringType(), answer=StringType(), context=ArrayType(CONTEXT)
 )
 
-# Landed playlist page: the answer as fetched, plus the playlist it was fetched for.
+# Landed playlist page: the answer as fetched, plus the playlist it was fetched for and the
+# token it was asked for with; the first page has none.
 PLAYLIST_PAGE = _struct(
     playlist_id=StringType(),
+    pageToken=StringType(),
     items=ArrayType(
         _struct(
             snippet=_struct(
@@ -63,8 +65,18 @@ PLAYLIST_PAGE = _struct(
     error=_struct(status_code=IntegerType()),
 )
 
-# Landed captions: one row per successful fetch, so a video with no captions at
-# all (empty list) can be told from one whose fetch failed (no row).
+# Landed captions: one row per fetch, in the order of the captions. A video with no captions
+# at all (empty list) can be told from one whose fetch failed (with an error, or no row).
+FETCH_ERROR = _struct(type=StringType(), cause=StringType())
 LANDED_CAPTIONS = _struct(
-    video_id=StringType(), language=StringType(), transcript=ArrayType(CAPTION)
+    video_id=StringType(),
+    language=StringType(),
+    transcript=ArrayType(CAPTION),
+    error=FETCH_ERROR,
+)
+
+# Audit of the videos without a transcript.
+MISSING_TRANSCRIPTS = StructType(
+    VIDEO.fields
+    + _struct(url=StringType(), error_type=StringType(), error_cause=StringType()).fields
 )
