@@ -50,7 +50,7 @@ TASK_ENTRIES = 1 << 15
 VERIFY_BYTES = 12 << 20
 HUB_SETS = 512
 
-SETS = "kind int, id {id}, s long, n int, share int, token long, payload binary"
+SETS = "kind int, id {id}, s long, n int, r int, token long, payload binary"
 DOCUMENT, ENTRY, SET = range(3)
 
 
@@ -195,7 +195,8 @@ def shingle_components(
     * Lists whose sets are then all linked, which the lists of near copies are, are
       skipped as blocks.
     * In the others, sets of different components within each other's range of sizes
-      are looked at. What both have in common with the hub bounds what they have in
+      are looked at. Two sets share no more than the shingles that they share with any
+      set at all, and what both have in common with the hub bounds what they have in
       common with each other, from below and above; this answers them without comparing
       sets, and only pairs in between are compared.
 
@@ -215,7 +216,7 @@ def shingle_components(
             ("id", arrow_id),
             ("s", pa.int64()),
             ("n", pa.int32()),
-            ("share", pa.int32()),
+            ("r", pa.int32()),
             ("token", pa.int64()),
             ("payload", pa.binary()),
         ]
@@ -241,7 +242,7 @@ def shingle_components(
         sizes = np.diff(found.cuts)
         classes = frequencies(found.hashes, by_kind(answers), bits, blocks)
         repeated = np.concatenate([[0], np.cumsum(classes > 0)])
-        share = 1000 * (repeated[found.cuts[1:]] - repeated[found.cuts[:-1]]) // np.maximum(sizes, 1)
+        shared = repeated[found.cuts[1:]] - repeated[found.cuts[:-1]]
         # Of equal sets of a group, the first goes into the index.
         chosen = np.zeros(len(sizes), bool)
         chosen[np.unique(found.keys, return_index=True)[1]] = True
@@ -261,7 +262,7 @@ def shingle_components(
                     ids,
                     signed(found.keys[at]),
                     pa.array(sizes[at], pa.int32()),
-                    pa.array(share[at], pa.int32()),
+                    pa.array(shared[at], pa.int32()),
                     token,
                     payload,
                 ],
@@ -287,16 +288,17 @@ def shingle_components(
         )
     )
     documents = indexed.where(F.col("kind") == DOCUMENT).select("id", "s", "n")
-    entries = indexed.where(F.col("kind") == ENTRY).select("token", "s", "n", "share").distinct()
+    entries = indexed.where(F.col("kind") == ENTRY).select("token", "s", "n", "r").distinct()
+    share = (1000 * F.col("r") / F.col("n")).cast("int").alias("share")
     lists = (
         entries.groupBy("token")
-        .agg(F.count("*").alias("members"), F.max(F.struct("share", "s", "n")).alias("hub"))
+        .agg(F.count("*").alias("members"), F.max(F.struct(share, "s", "n", "r")).alias("hub"))
         .where("members > 1")
-        .select("token", "members", F.col("hub.s").alias("hub"), F.col("hub.n").alias("hub_n"))
+        .select("token", "members", F.col("hub.s").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.r").alias("hub_r"))
     )
     entries = saved(entries.join(lists, "token"))
-    fitting = (100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")) & (F.col("s") != F.col("hub"))
-    pairs = entries.where(fitting).select(F.col("hub").alias("a"), F.col("s").alias("b")).distinct()
+    fitting = similar(F.col("n"), F.col("hub_n"), F.least("r", "hub_r"), percent)
+    pairs = entries.where(fitting & (F.col("s") != F.col("hub"))).select(F.col("hub").alias("a"), F.col("s").alias("b")).distinct()
     members = entries.select("s").distinct()
     sets = (
         indexed.where(F.col("kind") == SET)
@@ -327,8 +329,8 @@ def shingle_components(
         .withColumn("part", F.pmod(F.xxhash64("s"), F.col("parts")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         .select(
-            "token", "s", "n", "root", "hub_n", "part",
-            F.when(F.col("s") == F.col("hub"), F.col("n")).otherwise(F.col("overlap")).alias("overlap"),
+            "token", "s", "n", "r", "root", "hub_n", "part",
+            F.when(F.col("s") == F.col("hub"), F.col("r")).otherwise(F.col("overlap")).alias("overlap"),
             F.least("part", "other").alias("one"),
             F.greatest("part", "other").alias("two"),
         )
@@ -339,9 +341,11 @@ def shingle_components(
     def across(rows: pa.Table) -> pa.Table:
         """Pairs of one task's lists that are neither linked already nor ruled out."""
         token, one, two = (rows[c].to_numpy() for c in ("token", "one", "two"))
-        s, n, root, hub_n = (rows[c].to_numpy() for c in ("s", "n", "root", "hub_n"))
+        s, n, r, root, hub_n = (
+            rows[c].to_numpy().astype(np.int64) for c in ("s", "n", "r", "root", "hub_n")
+        )
         part = rows["part"].to_numpy()
-        overlap = rows["overlap"].fill_null(-1).to_numpy()
+        overlap = rows["overlap"].fill_null(-1).to_numpy().astype(np.int64)
         order = np.lexsort((n, two, one, token))
         cut = np.flatnonzero(first_of_runs(token[order], one[order], two[order]))
         found = []
@@ -355,12 +359,12 @@ def shingle_components(
                 others = others[(root[others] != root[x]) & ((one[x] == two[x]) | (part[others] != part[x]))]
                 if not len(others):
                     continue
-                most = np.minimum(sizes[i], n[others])
+                most = np.minimum(r[x], r[others])
                 least = np.zeros(len(others), np.int64)
                 known = (overlap[x] >= 0) & (overlap[others] >= 0)
                 shared = np.minimum(overlap[x], overlap[others])
-                left = np.minimum(n[x] - overlap[x], n[others] - overlap[others])
-                most = np.where(known, shared + left, most)
+                left = np.minimum(r[x] - overlap[x], r[others] - overlap[others])
+                most = np.where(known, np.minimum(most, shared + left), most)
                 least = np.where(known, np.maximum(0, overlap[x] + overlap[others] - hub_n[x]), least)
                 sure = similar(n[x], n[others], least, percent)
                 maybe = similar(n[x], n[others], most, percent)
