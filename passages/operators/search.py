@@ -109,7 +109,7 @@ def nearest_passages(
         F.count("*").alias("n"),
     ).first()
     wanted = max((size["bytes"] or 0) + size["n"] * k * HIT_BYTES, 1)
-    blocks = -(-wanted // max(broadcast_bytes, 1))
+    blocks = max(1, min(-(-wanted // max(broadcast_bytes, 1)), size["n"]))
     found = None
     for block in range(blocks):
         part = questions

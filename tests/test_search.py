@@ -4,12 +4,13 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from passages.operators import cells, nearest, search
-from passages.operators.cells import fit_cells, search_cells
-from passages.operators.context import contexts, repeated_ids, retrieved
+from passages.operators import cells, context, hits, nearest
+from passages.operators.cells import fit_cells, read_cells, search_cells, write_cells
+from passages.operators.context import contexts, last_of_repeated, repeated_ids, retrieved
 from passages.operators.embedding import add_embedding
 from passages.operators.hits import hit_schema
-from passages.operators.search import nearest_passages
+from passages.operators.search import nearest_passages, unsearchable
+from passages.plans.answers import question_prompts
 
 FIELDS = ("id", "content")
 
@@ -27,7 +28,7 @@ def brute_force(query_ids, questions, ids, vectors, k):
     v = np.asarray(vectors, np.float32).astype(float)
     found = []
     for query_id, question in zip(query_ids, q):
-        distances = np.round(((v - question) ** 2).sum(axis=1), 6)
+        distances = np.cumsum((v - question) ** 2, axis=1)[:, -1]
         best = sorted(zip(distances.tolist(), ids))[:k]
         found += [(query_id, i, d, rank) for rank, (d, i) in enumerate(best, 1)]
     return found
@@ -51,11 +52,18 @@ def grid():
     return list(range(50)), questions, ids, vectors
 
 
-def _search(spark, data, k, **options):
+# Few questions at once, so that there are several blocks of them.
+BLOCKS = {"broadcast_bytes": 4000}
+WAYS = ({}, BLOCKS, {"dim": True})
+
+
+def _search(spark, data, k, dim=None, **options):
+    """With ``dim``, by cells of vectors of so many numbers (True: as the last question)."""
     query_ids, questions, ids, vectors = data
-    return nearest_passages(
-        _frame(spark, "query_id", query_ids, questions), _frame(spark, "id", ids, vectors), k, **options
-    )
+    frame = _frame(spark, "id", ids, vectors)
+    if dim:
+        options["cells"] = fit_cells(frame, len(questions[-1]) if dim is True else dim)
+    return nearest_passages(_frame(spark, "query_id", query_ids, questions), frame, k, **options)
 
 
 @pytest.mark.parametrize("k", [1, 5, 250])
@@ -65,13 +73,17 @@ def test_scan_matches_brute_force(spark, grid, k):
 
 @pytest.mark.parametrize("k", [1, 5, 250])
 def test_cells_match_brute_force(spark, grid, k):
-    assert _rows(_search(spark, grid, k, broadcast_bytes=0)) == sorted(brute_force(*grid, k))
+    assert _rows(_search(spark, grid, k, dim=3)) == sorted(brute_force(*grid, k))
+
+
+def test_blocks_of_questions_match_brute_force(spark, grid):
+    assert _rows(_search(spark, grid, 5, **BLOCKS)) == sorted(brute_force(*grid, 5))
 
 
 def test_blocks_of_a_large_and_much_visited_cell(spark, grid, monkeypatch):
     monkeypatch.setattr(cells, "BLOCK_BYTES", 12 * 40)
     monkeypatch.setattr(cells, "BLOCK_QUESTIONS", 7)
-    assert _rows(_search(spark, grid, 5, broadcast_bytes=0)) == sorted(brute_force(*grid, 5))
+    assert _rows(_search(spark, grid, 5, dim=3)) == sorted(brute_force(*grid, 5))
 
 
 def test_small_tiles(grid):
@@ -108,22 +120,40 @@ def test_blocks_match_brute_force(data):
     assert sorted(rows) == sorted(r[:3] for r in expected)
 
 
-def test_scan_tasks_are_limited(spark, grid, monkeypatch):
-    monkeypatch.setattr(search, "SCAN_TASKS", 2)
-    hits = _search(spark, grid, 5)
-    assert _rows(hits) == sorted(brute_force(*grid, 5))
+def test_hits_of_many_tasks_meet_in_two_steps(spark, grid, monkeypatch):
+    monkeypatch.setattr(hits, "MERGES", 2)
+    assert _rows(_search(spark, grid, 5)) == sorted(brute_force(*grid, 5))
+
+
+def test_ranked_by_whole_distances(spark):
+    """Differences beyond the sixth decimal decide, before the ids."""
+    data = (["q"], [[0.0, 0.0]], ["z1", "z2", "b8", "a9"], [[1e-4, 0], [2e-4, 0], [5e-4, 0], [6e-4, 0]])
+    for options in WAYS:
+        assert [r[1] for r in _rows(_search(spark, data, 2, **options))] == ["z1", "z2"]
+
+
+def test_any_order_of_questions_and_lengths(spark):
+    """Each question finds the vectors of its own length, whichever comes first."""
+    vectors = [[0.0, 0.0], [1.0, 1.0], [5.0], None]
+    for questions in ([[1.0], [0.0, 0.0], [1.0, 1.0]], [[1.0, 1.0], [0.0, 0.0], [1.0]]):
+        data = (list(range(3)), questions, list("abcd"), vectors)
+        for options in ({}, BLOCKS, {"broadcast_bytes": 1}):
+            found = {(r[0], r[1]) for r in _rows(_search(spark, data, 1, **options))}
+            assert found == {(i, "c" if len(q) == 1 else "ab"[int(q[0])]) for i, q in enumerate(questions)}
+    frame = _frame(spark, "id", list("abcd"), vectors)
+    assert sorted(r["id"] for r in unsearchable(frame, 2).collect()) == ["c", "d"]
 
 
 def test_fewer_vectors_than_k(spark):
     data = (["q"], [[0.0, 0.0]], [7, 8], [[1.0, 0.0], [0.0, 2.0]])
-    for options in ({}, {"broadcast_bytes": 0}):
+    for options in WAYS:
         assert _rows(_search(spark, data, 5, **options)) == [("q", 7, 1.0, 1), ("q", 8, 4.0, 2)]
 
 
 def test_vectors_that_cannot_be_searched(spark):
     vectors = [None, [1.0], [1.0, 1.0], [], [3.0, 3.0]]
     questions = [None, [0.0, 0.0]]
-    for options in ({}, {"broadcast_bytes": 0}):
+    for options in WAYS:
         hits = _search(spark, ([1, 2], questions, list("abcde"), vectors), 5, **options)
         assert [(r[0], r[1]) for r in _rows(hits)] == [(2, "c"), (2, "e")]
 
@@ -132,28 +162,23 @@ def test_vectors_that_are_not_finite(spark):
     infinite, missing = float("inf"), float("nan")
     vectors = [[1.0, missing], [infinite, 0.0], [1.0, 1.0], [3.0, 3.0]]
     questions = [[0.0, 0.0], [missing, 0.0], [infinite, 0.0]]
-    for options in ({}, {"broadcast_bytes": 0}):
+    for options in WAYS:
         hits = _search(spark, ([1, 2, 3], questions, list("abcd"), vectors), 5, **options)
         assert [(r[0], r[1]) for r in _rows(hits)] == [(1, "c"), (1, "d")]
 
 
 def test_questions_without_a_finite_vector(spark):
     data = ([1], [[float("nan"), 0.0]], ["a"], [[1.0, 1.0]])
-    for options in ({}, {"broadcast_bytes": 0}):
+    for options in WAYS:
         assert _rows(_search(spark, data, 5, **options)) == []
 
 
-def test_many_questions_that_still_fit_one_scan(spark, grid, monkeypatch):
-    monkeypatch.setattr(search, "FEW", 10)
-    assert _rows(_search(spark, grid, 5)) == sorted(brute_force(*grid, 5))
-
-
 def test_small_distances_between_long_vectors(spark):
     draw = np.random.default_rng(4)
     vectors = 1e5 + draw.integers(0, 40, size=(300, 4)).astype(float)
     questions = vectors[:10] + 1
     data = (list(range(10)), questions, list(range(300)), vectors)
-    for options in ({}, {"broadcast_bytes": 0}):
+    for options in WAYS:
         assert _rows(_search(spark, data, 5, **options)) == sorted(brute_force(*data, 5))
 
 
@@ -161,7 +186,7 @@ def test_nothing_to_search(spark):
     some = _frame(spark, "query_id", [1], [[1.0]])
     none = _frame(spark, "id", [1], [None])
     assert nearest_passages(some, none, 3).count() == 0
-    assert nearest_passages(some, none, 3, broadcast_bytes=0).count() == 0
+    assert nearest_passages(some, none, 3, cells=fit_cells(none, 1)).count() == 0
     assert nearest_passages(
         none.withColumnRenamed("id", "query_id"), some.withColumnRenamed("query_id", "id"), 3
     ).count() == 0
@@ -172,7 +197,7 @@ def test_high_dimensions(spark):
     vectors, questions = draw.normal(size=(700, 48)), draw.normal(size=(25, 48))
     data = (list(range(25)), questions, list(range(700)), vectors)
     expected = sorted(brute_force(*data, 5))
-    for options in ({}, {"broadcast_bytes": 0}):
+    for options in WAYS:
         found = _rows(_search(spark, data, 5, **options))
         assert [(r[0], r[1], r[3]) for r in found] == [(r[0], r[1], r[3]) for r in expected]
         assert np.allclose([r[2] for r in found], [r[2] for r in expected], atol=2e-6)
@@ -214,20 +239,51 @@ def test_golden_retrieval(spark, golden, make_fake_model):
     assert [tuple(c) for c in found["context"]] == [(ids[0], parts[0]), (ids[2], parts[2])]
 
 
-@pytest.mark.parametrize("options", [{}, {"broadcast_bytes": 0}])
-def test_hits_are_broadcast_if_few(spark, grid, options, monkeypatch):
+def test_stored_cells_serve_another_session(spark, grid, tmp_path):
+    query_ids, questions, ids, vectors = grid
+    write_cells(fit_cells(_frame(spark, "id", ids, vectors), 3, n_cells=9), str(tmp_path))
+    other = spark.newSession()
+    fitted = read_cells(other, str(tmp_path))
+    assert fitted.sizes.sum() == 600 and len(fitted.centers) == 9
+    asked = _frame(other, "query_id", query_ids, questions)
+    found = nearest_passages(asked, fitted.vectors, 5, cells=fitted)
+    assert _rows(found) == sorted(brute_force(*grid, 5))
+
+
+def test_too_many_cells_are_an_error(spark, grid):
+    with pytest.raises(ValueError, match="n_cells"):
+        fit_cells(_frame(spark, "id", grid[2], grid[3]), 3, n_cells=cells.MAX_CELLS + 1)
+
+
+def test_hits_are_broadcast_if_few(spark, grid, monkeypatch):
     passages = spark.range(10).selectExpr("cast(id AS string) AS id", "'x' AS content")
 
     def plan():
-        rows = retrieved(_search(spark, grid, 5, **options), passages, FIELDS)
+        rows = retrieved(_search(spark, grid, 5), passages, FIELDS)
         text = rows._jdf.queryExecution().optimizedPlan().toString()
         return next(line for line in text.split("\n") if "Join Inner" in line)
 
     assert "strategy=broadcast" in plan()
-    monkeypatch.setattr(search, "BROADCAST_HITS_BYTES", 5 * 50 * 128 - 1)
+    monkeypatch.setattr(context, "BROADCAST_HITS_BYTES", 5 * 50 * context.ROW_BYTES)
     assert "strategy=broadcast" not in plan()
 
 
+def test_repeated_ids_are_one_passage(spark):
+    rows = [
+        ("x", "old", 1, [0.0, 0.0]),
+        ("x", "new", 2, [0.1, 0.0]),
+        ("y", "y", 1, [1.0, 0.0]),
+        ("z", "z", 1, [2.0, 0.0]),
+    ]
+    passages = spark.createDataFrame(rows, "id string, content string, version int, embedding array<float>")
+    asked = _frame(spark, "query_id", [1], [[0.0, 0.0]]).selectExpr("query_id", "'?' AS input", "embedding")
+    for last_by in (["version"], None):
+        (row,) = question_prompts(asked, passages, 2, fields=FIELDS, last_by=last_by).collect()
+        first = "new" if last_by else "old"
+        assert [c["content"] for c in row["context"]] == [first, "y"]
+    assert last_of_repeated(passages.where("id != 'x'")).count() == 2
+
+
 def test_last_of_repeated_ids_counts(spark):
     hits = spark.createDataFrame(
         [(1, "a", 0.0, 1), (1, "b", 1.0, 2)], "query_id int, id string, distance double, rank int"
@@ -240,10 +296,8 @@ def test_last_of_repeated_ids_counts(spark):
     assert [r["content"] for r in rows] == ["new", "only"]
 
 
-@pytest.mark.parametrize("limits", [{}, {"FEW": 2}, {"BROADCAST_BYTES": 0}])
-def test_model_embeds_questions_once(spark, grid, tmp_path, limits, monkeypatch):
-    options = {"broadcast_bytes": 0} if "BROADCAST_BYTES" in limits else {}
-    monkeypatch.setattr(search, "FEW", limits.get("FEW", 1024))
+@pytest.mark.parametrize("options", [{}, {"broadcast_bytes": 1}, {"dim": 3}])
+def test_model_embeds_questions_once(spark, grid, tmp_path, options):
     folder = str(tmp_path)
 
     def make():
@@ -259,5 +313,7 @@ def test_model_embeds_questions_once(spark, grid, tmp_path, limits, monkeypatch)
     asked = spark.range(4, numPartitions=2).selectExpr("id AS query_id", "cast(id AS string) AS t")
     questions = add_embedding(asked, make, text="t")
     vectors = _frame(spark, "id", grid[2], grid[3])
+    if "dim" in options:
+        options = {"cells": fit_cells(vectors, options["dim"])}
     assert nearest_passages(questions, vectors, 3, **options).count() == 12
     assert len(list(tmp_path.iterdir())) == 4
