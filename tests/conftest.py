@@ -35,29 +35,12 @@ def spark(tmp_path_factory):
 def golden():
     """A text, its four passages at 25 tokens with an overlap of 5, and
     the vectors of the deterministic model below."""
-    text = " ".join(
-        [
-            "I often make this joke which is agile's",
-            "a lot like communism you know people",
-            "just keep not trying it correctly um",
-            "what is what is the correct way to",
-            "Agile oh gee um it's a real simple idea",
-            "right uh do things in really short",
-            "sequences measure how much you get done",
-            "in every sequence use that measurement",
-            "to project an end date and tell",
-            "everybody that's kind of it",
-        ]
-    )
+    text = "I often make this joke which is agile's a lot like communism you know people just keep not trying it correctly um what is what is the correct way to Agile oh gee um it's a real simple idea right uh do things in really short sequences measure how much you get done in every sequence use that measurement to project an end date and tell everybody that's kind of it"  # noqa: E501
     parts = [
-        "I often make this joke which is agile's a lot like communism you know people"
-        " just keep not trying it correctly um",
-        "not trying it correctly um what is what is the correct way to Agile oh gee um"
-        " it's a real simple idea",
-        "a real simple idea right uh do things in really short sequences measure how much"
-        " you get done in every sequence use that",
-        "in every sequence use that measurement to project an end date and tell everybody"
-        " that's kind of it",
+        "I often make this joke which is agile's a lot like communism you know people just keep not trying it correctly um",  # noqa: E501
+        "not trying it correctly um what is what is the correct way to Agile oh gee um it's a real simple idea",  # noqa: E501
+        "a real simple idea right uh do things in really short sequences measure how much you get done in every sequence use that",  # noqa: E501
+        "in every sequence use that measurement to project an end date and tell everybody that's kind of it",  # noqa: E501
     ]
     vectors = [
         [-0.34710384916349935, -1.1611512293332775],

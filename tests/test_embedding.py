@@ -68,6 +68,23 @@ def test_other_errors_fail_the_job(spark):
         add_embedding(_texts(spark, ["fatal"]), _make_picky).collect()
 
 
+@pytest.mark.parametrize("n", [0, 1, 3])
+def test_a_wrong_number_of_vectors_fails_the_job(spark, n):
+    def make():
+        return lambda texts: [[1.0]] * n
+
+    with pytest.raises(PythonException, match=f"{n} results for 2 texts"):
+        add_embedding(_texts(spark, ["a", "b"]), make, call_size=2).collect()
+
+
+def test_counts_in_tiles(monkeypatch):
+    from passages.operators import embedding
+
+    whole = lexical_model(32)(["a b c", "", "b b", "d e f g"])
+    monkeypatch.setattr(embedding, "_TILE", 40)
+    assert np.allclose(lexical_model(32)(["a b c", "", "b b", "d e f g"]), whole)
+
+
 def test_null_texts_are_not_sent(spark):
     df = add_embedding(_texts(spark, ["a", None, "b"]), _make_picky)
     assert _vectors(df) == [[1.0], None, [1.0]]

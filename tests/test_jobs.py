@@ -16,7 +16,7 @@ from passages.params import (
 from passages.plans.answers import answer_questions
 from passages.plans.__main__ import main
 from passages.plans.jobs import answers_job, captions_job, chunk_job, embedding_job
-from passages.schemas import ANSWERS, CONTENT_CHUNKS_EMBEDDING
+from passages.schemas import ANSWERS, CONTENT_CHUNKS_EMBEDDING, MISSING_TRANSCRIPTS
 from passages.sources.landing import read_captions, read_playlist_pages
 from passages.sources.tables import table_info
 
@@ -79,7 +79,7 @@ def test_jobs_in_a_row(spark, tmp_path, golden):
         {"start": float(i), "duration": 1.0, "text": " ".join(words[i : i + 8])}
         for i in range(0, len(words), 8)
     ]
-    landed = {"video_id": "v", "language": "en", "transcript": said[::-1]}
+    landed = {"video_id": "v", "language": "en", "transcript": said}
     for name, row in (("pages", page), ("captions", landed)):
         (tmp_path / name).mkdir()
         (tmp_path / name / "1.json").write_text(json.dumps(row))
@@ -89,6 +89,7 @@ def test_jobs_in_a_row(spark, tmp_path, golden):
     captions = read_captions(spark, str(tmp_path / "captions"))
     missing = captions_job(spark, CaptionsParams(**CONFIG["video_captions"]), pages, captions)
     assert [r["video_id"] for r in missing.collect()] == ["w"]
+    assert spark.table("jobs.missing_transcripts").schema == MISSING_TRANSCRIPTS
     assert spark.table("jobs.transcripts").count() == len(said)
     assert spark.table("jobs.content").first()["content"] == text
 
@@ -110,7 +111,7 @@ def test_jobs_in_a_row(spark, tmp_path, golden):
         "id", "video_id", "title", "publish_time", "content",
     }
 
-    location = table_info(spark, "jobs.content_chunks_embedding")["Location"]
+    location = table_info(spark, "jobs.content_chunks_embedding").properties["location"]
     retriever = {**CONFIG["retriever"], "table_url": location, "k": 2}
     answers_job(
         spark,

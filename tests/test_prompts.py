@@ -2,6 +2,7 @@ import sys
 
 import pytest
 from pyspark import cloudpickle
+from pyspark.errors import PythonException
 from pyspark.sql import functions as F
 
 from passages.operators.prompts import DEFAULT_TEMPLATE, add_answer, filled, prompts
@@ -47,3 +48,18 @@ def _make_model():
 def test_answers(spark, questions):
     rows = add_answer(questions, _make_model, "input").orderBy("query_id").collect()
     assert [r["answer"] for r in rows] == ["?%001 yhw", "}ohw{"]
+
+
+def test_calls_are_bounded_and_counted(spark):
+    def make():
+        return lambda texts: [str(len(texts))] * len(texts)
+
+    frame = spark.createDataFrame([(i, None if i == 3 else "x") for i in range(8)], "id int, prompt string")
+    rows = add_answer(frame.coalesce(1), make, call_size=3).orderBy("id").collect()
+    assert [r["answer"] for r in rows] == ["3", "3", "3", None, "3", "3", "3", "1"]
+
+    def make_short():
+        return lambda texts: texts[1:]
+
+    with pytest.raises(PythonException, match="results for"):
+        add_answer(frame, make_short).collect()

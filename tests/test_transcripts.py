@@ -45,8 +45,8 @@ def test_listing_over_pages(spark, tmp_path):
         tmp_path,
         [
             {"playlist_id": "UULFabc", "items": [_item("v1")], "nextPageToken": "p2"},
-            {"playlist_id": "UULFabc", "nextPageToken": "p3"},
-            {"playlist_id": "UULFabc", "items": [_item("v2"), _item("v1")]},
+            {"playlist_id": "UULFabc", "pageToken": "p2", "nextPageToken": "p3"},
+            {"playlist_id": "UULFabc", "pageToken": "p3", "items": [_item("v2"), _item("v1")]},
             {"playlist_id": "UULFother", "items": [_item("v9")]},
             {"playlist_id": "UUabc", "items": [_item("short")]},
         ],
@@ -93,6 +93,34 @@ def test_listing_fails_on_other_errors(spark, tmp_path, rows):
         channel_videos(pages, _channels(spark, "UCabc")).collect()
 
 
+@pytest.mark.parametrize(
+    ("rows", "reason"),
+    [
+        (
+            [
+                {"playlist_id": "UULFabc", "items": [_item("v1")], "nextPageToken": "p2"},
+                {"playlist_id": "UULFabc", "pageToken": "p2", "error": {"status_code": 404}},
+            ],
+            "404 beside pages",
+        ),
+        ([{"playlist_id": "UULFabc", "items": [_item("v1")], "nextPageToken": "p2"}], "token p2"),
+        ([{"playlist_id": "UULFabc", "items": [_item("v1")], "pageToken": "p2"}], "no first page"),
+        ([{"playlist_id": "UULFother", "items": [_item("v1")]}], "no page landed"),
+    ],
+)
+def test_incomplete_listings_fail(spark, tmp_path, rows, reason):
+    pages = _land(spark, tmp_path, rows, read_playlist_pages)
+    with pytest.raises(PySparkException, match=f"Unable to list UCabc: .*{reason}"):
+        channel_videos(pages, _channels(spark, "UCabc")).collect()
+
+
+def test_broken_lines_fail(spark, tmp_path):
+    (tmp_path / "landed.json").write_text('{"playlist_id": "UULFabc", "items": [\n')
+    for read in (read_playlist_pages, read_captions):
+        with pytest.raises(Exception, match="MALFORMED_RECORD"):
+            read(spark, str(tmp_path)).collect()
+
+
 def test_errors_of_other_channels_do_not_matter(spark, tmp_path):
     pages = _land(
         spark,
@@ -152,9 +180,9 @@ def captions(spark, tmp_path):
     )
 
 
-def test_captions_of_a_language_in_time_order(captions):
+def test_captions_of_a_language_in_their_order(captions):
     found = {r["video_id"]: r["transcript"] for r in captions_in_language(captions).collect()}
-    assert [c["text"] for c in found["a"]] == ["first", "later"]
+    assert [c["text"] for c in found["a"]] == ["later", "first"]
     assert captions_in_language(captions, "pl").count() == 1
     assert captions.schema == LANDED_CAPTIONS
 
@@ -171,7 +199,7 @@ def test_transcripts(spark, videos, captions):
     content = transcript_content(transcripts)
     assert content.schema.fieldNames() == CONTENT.fieldNames()
     assert {r["video_id"]: r["content"] for r in content.collect()} == {
-        "a": "first later",
+        "a": "later first",
         "b": "",
         "c": "",
     }
@@ -191,6 +219,33 @@ def test_missing_transcripts(videos, captions):
     (row,) = missing_transcripts(videos, captions_in_language(captions)).collect()
     assert row["video_id"] == "d"
     assert row["url"] == "https://www.youtube.com/watch?v=d"
+    assert row["error_type"] is None and row["error_cause"] is None
+
+
+def test_failed_and_repeated_landings(spark, videos, tmp_path):
+    said = [{"start": float(i), "duration": 1.0, "text": f"t{i}"} for i in range(3)]
+    failure = {"type": "TranscriptsDisabled", "cause": "by the owner"}
+    captions = _land(
+        spark,
+        tmp_path,
+        [
+            {"video_id": "a", "language": "en", "transcript": said},
+            {"video_id": "a", "language": "en", "transcript": said},
+            {"video_id": "b", "language": "en", "transcript": said[:1]},
+            {"video_id": "b", "language": "en", "transcript": said},
+            {"video_id": "b", "language": "en", "error": failure},
+            {"video_id": "d", "language": "en", "error": failure},
+        ],
+        read_captions,
+    )
+    spoken = captions_in_language(captions)
+    content = transcript_content(video_transcripts(videos, spoken)).collect()
+    assert {r["video_id"]: r["content"] for r in content} == {"a": "t0 t1 t2", "b": "t0 t1 t2"}
+    assert len(content) == 2
+    missing = {r["video_id"]: r for r in missing_transcripts(videos, spoken).collect()}
+    assert missing.keys() == {"c", "d"}
+    assert (missing["d"]["error_type"], missing["d"]["error_cause"]) == tuple(failure.values())
+    assert missing["c"]["error_type"] is None
 
 
 def test_gathering_over_many_stretches(spark):
