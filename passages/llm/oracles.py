@@ -1,11 +1,85 @@
 """The same results in SQL for DuckDB, where SQL can express them."""
 
+from passages.llm.exact import LOWER, UPPER
+from passages.llm.licences import NOT_WORD, SIMILARITY, TEMPLATES, bigrams, words
+
+_WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+_LOWERED = f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')"
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _template(name: str, text: str) -> str:
+    pairs = ", ".join(_quoted(f"{a} {b}") for a, b in sorted(bigrams(words(text))))
+    return f"({_quoted(name)}, [{pairs}])"
+
+
 ORACLES: dict[str, str] = {
-    "op3_exact_duplicates": """
-WITH norm AS (
-  SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
-  FROM documents),
+    "op1_substrings": f"""
+WITH texts AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+windows AS (
+  SELECT doc_id, i, array_to_string(w[i : i + 34], ' ') AS t
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM texts)),
+repeated AS (SELECT t FROM windows GROUP BY t HAVING count(*) > 1),
+gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS i FROM windows SEMI JOIN repeated USING (t)),
+kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS text, count(*) AS n
+  FROM (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM texts)
+  ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed,
+       sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM texts LEFT JOIN kept USING (doc_id)""",
+    "op3_exact_duplicates": f"""
+WITH norm AS (SELECT doc_id, {_LOWERED} AS text FROM documents),
 groups AS (SELECT text, max(doc_id) AS keep_id, count(*) AS group_size FROM norm GROUP BY text)
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(text) AS text_sha256
 FROM norm JOIN groups USING (text)""",
+    "op8_jaccard": f"""
+WITH RECURSIVE texts AS (SELECT doc_id, {_WORDS.format(_LOWERED)} AS w FROM documents),
+sets AS MATERIALIZED (
+  SELECT doc_id, CASE WHEN len(w) >= 5 THEN
+      list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')))
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s
+  FROM texts),
+shingles AS (SELECT doc_id, len(s) AS n, unnest(s) AS t FROM sets),
+shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS n, any_value(b.n) AS m, count(*) AS o
+  FROM shingles a JOIN shingles b ON a.t = b.t AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS MATERIALIZED (SELECT a, b FROM shared WHERE 100 * o >= 80 * (n + m - o)),
+reached AS (
+  SELECT doc_id, doc_id AS root FROM sets
+  UNION SELECT b, root FROM reached JOIN links ON a = doc_id),
+components AS (SELECT doc_id, min(root) AS component_id FROM reached GROUP BY doc_id)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id FROM sets JOIN components USING (doc_id)""",
+    "op9_licences": f"""
+WITH templates(licence, pairs) AS (VALUES {", ".join(_template(*t) for t in TEMPLATES.items())}),
+lines AS (
+  SELECT doc_id, generate_subscripts(l, 1) - 1 AS line, list_filter(list_transform(
+      regexp_split_to_array(unnest(l), '{NOT_WORD}'), lambda w: trim(w, '.')), lambda w: w <> '') AS w
+  FROM (SELECT doc_id, string_split({_LOWERED}, chr(10)) AS l FROM documents WHERE text IS NOT NULL)),
+numbered AS (
+  SELECT *, sum((len(w) = 0)::INT) OVER (PARTITION BY doc_id ORDER BY line) AS p FROM lines),
+paragraphs AS (
+  SELECT doc_id, min(line) AS line, count(*) AS n_lines, flatten(list(w ORDER BY line)) AS w
+  FROM numbered WHERE len(w) > 0 GROUP BY doc_id, p),
+parts AS (
+  SELECT doc_id, line, 1 AS n_lines, w FROM lines
+  UNION ALL SELECT * FROM paragraphs WHERE n_lines > 1
+  UNION ALL SELECT doc_id, 0, count(*), flatten(list(w ORDER BY line)) FROM lines
+    SEMI JOIN (SELECT doc_id FROM paragraphs GROUP BY doc_id HAVING count(*) > 1) USING (doc_id)
+    GROUP BY doc_id),
+sets AS (
+  SELECT doc_id, line, n_lines, list_distinct(list_transform(range(1, len(w)),
+      lambda i: w[i] || ' ' || w[i + 1])) AS own FROM parts WHERE len(w) > 1),
+scored AS (
+  SELECT *, 2.0 * len(list_intersect(own, pairs)) / (len(own) + len(pairs)) AS score
+  FROM sets JOIN templates
+    ON 2 * least(len(own), len(pairs)) >= {SIMILARITY} * (len(own) + len(pairs)) - 0.001)
+SELECT doc_id, line::BIGINT AS line, n_lines::BIGINT AS n_lines, licence, round(score, 6)::DOUBLE AS dice,
+       len(own)::BIGINT AS n_bigrams
+FROM scored WHERE score >= {SIMILARITY}
+QUALIFY row_number() OVER (PARTITION BY doc_id, line, n_lines ORDER BY score DESC, licence) = 1""",
 }
