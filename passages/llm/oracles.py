@@ -82,4 +82,17 @@ SELECT doc_id, line::BIGINT AS line, n_lines::BIGINT AS n_lines, licence, round(
        len(own)::BIGINT AS n_bigrams
 FROM scored WHERE score >= {SIMILARITY}
 QUALIFY row_number() OVER (PARTITION BY doc_id, line, n_lines ORDER BY score DESC, licence) = 1""",
+    # For pages like those of the tables: one article of paragraphs and a heading.
+    "op10_extraction": r"""
+WITH blocks AS (
+  SELECT page_id, url, regexp_split_to_array(regexp_replace(
+      regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(?:</article>|$)', 1), '<br>', ' ', 'g'),
+    '</?(?:p|h1)>') AS b FROM pages),
+plain AS (
+  SELECT page_id, url, list_filter(list_transform(b, lambda x: trim(regexp_replace(
+      replace(replace(replace(replace(replace(regexp_replace(x, '<[^>]*>', '', 'g'),
+        '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&'),
+      '\s+', ' ', 'g'))), lambda x: x <> '') AS b FROM blocks)
+SELECT page_id, url, array_to_string(b, chr(10)) AS text,
+       length(array_to_string(b, chr(10)))::BIGINT AS n_chars FROM plain""",
 }

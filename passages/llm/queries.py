@@ -84,7 +84,6 @@ def op10_extraction(spark: SparkSession, folder: str) -> DataFrame:
         "url",
         "text",
         F.char_length("text").cast("long").alias("n_chars"),
-        "container",
     )
 
 
