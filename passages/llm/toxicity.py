@@ -23,9 +23,10 @@ from passages.llm.packed import (
 SIZES = (3, 4, 5)
 BUCKET_BITS = 16
 # Toxic and other documents at most that the model is fitted on; whole texts of them.
-FIT_ROWS = (1500, 4500)
+FIT_ROWS = (1200, 3600)
 # Part of the fitted documents that a bucket must occur in, else it has no effect.
 LEAST = 0.01
+SHARE_SCALE = 1024
 # Part of a text that one word makes up at most, and words of no effect in each text.
 MOST = 0.02
 NEUTRAL = 30
@@ -148,6 +149,27 @@ def bags(batch: pa.RecordBatch) -> pa.RecordBatch:
     )
 
 
+def packed_bags(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """The same with two bytes per bucket and per part, as many of them go to the driver."""
+    found = bags(batch)
+
+    def pack(column: pa.ListArray, kind) -> pa.Array:
+        data = column.flatten().to_numpy().astype(kind)
+        offsets = np.asarray(column.offsets, np.int32) * 2
+        return pa.Array.from_buffers(
+            pa.binary(), len(column), [None, pa.py_buffer(offsets), pa.py_buffer(data.tobytes())]
+        )
+
+    # Parts are far below 1; scaled, they keep their precision in two bytes.
+    shares = pa.ListArray.from_arrays(
+        found["shares"].offsets, pa.array(found["shares"].flatten().to_numpy() * SHARE_SCALE)
+    )
+    return pa.RecordBatch.from_arrays(
+        [found["toxic"], pack(found["buckets"], np.uint16), pack(shares, np.float16)],
+        names=["toxic", "buckets", "shares"],
+    )
+
+
 def log_odds(texts: list[bytes], of_bucket: np.ndarray) -> np.ndarray:
     """The average of what the buckets of each text add to the log odds."""
     words = subword_words(texts)
@@ -177,7 +199,7 @@ def trained(labels: np.ndarray, offsets: np.ndarray, buckets: np.ndarray, shares
     parameters = [vectors, weights, bias]
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in parameters]
     # Shares are small; their scale is part of the model.
-    scale = 30.0
+    scale = 30.0 / SHARE_SCALE
     step = 0
     for _ in range(EPOCHS):
         order = random.permutation(len(labels))
@@ -186,7 +208,7 @@ def trained(labels: np.ndarray, offsets: np.ndarray, buckets: np.ndarray, shares
             lengths = offsets[rows + 1] - offsets[rows]
             row = np.repeat(np.arange(len(rows)), lengths)
             at = np.repeat(offsets[rows] - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths) + np.arange(lengths.sum())
-            index, value = buckets[at], shares[at] * scale
+            index, value = buckets[at].astype(np.int64), shares[at].astype(np.float64) * scale
             bag = np.stack([np.bincount(row, value * vectors[index, d], len(rows)) for d in range(DIM)], 1)
             logits = bag @ weights + bias
             odds = np.exp(logits - logits.max(axis=1, keepdims=True))
@@ -207,7 +229,7 @@ def trained(labels: np.ndarray, offsets: np.ndarray, buckets: np.ndarray, shares
                 v *= 0.999
                 v += 0.001 * g * g
                 p -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    vectors = np.where(common[:, None], vectors * scale, 0).astype(np.float32)
+    vectors = np.where(common[:, None], vectors * scale * SHARE_SCALE, 0).astype(np.float32)
     return Model(vectors, weights, bias, prior)
 
 
@@ -244,23 +266,20 @@ def fit(
     )
     order = texts.orderBy("h").select("toxic", "text")
     found = order.mapInArrow(
-        lambda batches: (bags(b) for b in batches),
-        "toxic int, buckets array<int>, shares array<float>",
+        lambda batches: (packed_bags(b) for b in batches),
+        "toxic int, buckets binary, shares binary",
     ).toArrow()
     empty = Model(
         np.zeros((1 << BUCKET_BITS, DIM), np.float32), np.zeros((DIM, 2)), np.zeros(2), prior
     )
     if len(set(found["toxic"].to_pylist())) < 2:
         return empty
-    buckets = found["buckets"].combine_chunks()
-    shares = found["shares"].combine_chunks()
-    return trained(
-        found["toxic"].to_numpy(),
-        np.asarray(buckets.offsets, np.int64) - buckets.offsets[0].as_py(),
-        buckets.flatten().to_numpy(),
-        shares.flatten().to_numpy(),
-        prior,
-    )
+    sizes = np.array([len(b) // 2 for b in found["buckets"].to_pylist()], np.int64)
+    toxic = found["toxic"].to_numpy()
+    buckets = np.frombuffer(b"".join(found["buckets"].to_pylist()), np.uint16)
+    shares = np.frombuffer(b"".join(found["shares"].to_pylist()), np.float16)
+    del found
+    return trained(toxic, np.concatenate([[0], np.cumsum(sizes)]), buckets, shares, prior)
 
 
 def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
