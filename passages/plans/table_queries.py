@@ -33,7 +33,7 @@ from passages.operators.transcripts import (
     video_transcripts,
 )
 from passages.schemas import FETCH_ERROR, PLAYLIST_PAGE
-from passages.sources.checkpoints import use_checkpoints
+from passages.sources.checkpoints import materialised, use_checkpoints
 from passages.sources.landing import captions_in_language, channel_videos, distinct_videos
 from passages.sources.spread import spread
 from passages.sources.tables import write_table
@@ -376,7 +376,8 @@ def retrieved_context(spark: SparkSession, folder: str) -> DataFrame:
 
 def context_repeated_ids(spark: SparkSession, folder: str) -> DataFrame:
     """Passages beside a later copy of each, which is the one that counts."""
-    first = _vectors(spark, folder).select(*FIELDS, "embedding", F.lit(0).alias("version"))
+    vectors = materialised(_vectors(spark, folder).select(*FIELDS, "embedding"))
+    first = vectors.withColumn("version", F.lit(0))
     later = first.withColumn("content", F.concat("content", F.lit(LATER)))
     passages = first.unionByName(later.withColumn("version", F.lit(1)))
     hits = nearest_passages(
