@@ -5,6 +5,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -18,12 +19,13 @@ from passages.llm.packed import (
     values_of,
     word_spans,
 )
+from passages.llm.shared import saved
 
 # Bytes of the subwords, and the number of buckets that they are hashed to.
 SIZES = (3, 4, 5)
 BUCKET_BITS = 16
 # Toxic and other documents at most that the model is fitted on; whole texts of them.
-FIT_ROWS = (1200, 3600)
+FIT_ROWS = (1500, 4500)
 # Part of the fitted documents that a bucket must occur in, else it has no effect.
 LEAST = 0.01
 SHARE_SCALE = 1024
@@ -165,11 +167,45 @@ def packed_bags(batch: pa.RecordBatch) -> pa.RecordBatch:
         found["shares"].offsets, pa.array(found["shares"].flatten().to_numpy() * SHARE_SCALE)
     )
     return pa.RecordBatch.from_arrays(
-        [found["toxic"], pack(found["buckets"], np.uint16), pack(shares, np.float16)],
-        names=["toxic", "buckets", "shares"],
+        [batch["h"], found["toxic"], pack(found["buckets"], np.uint16), pack(shares, np.float16)],
+        names=["h", "toxic", "buckets", "shares"],
+    )
+
+
+def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The buckets of some packed bags, and how many of the bags each is in."""
+    counts = np.zeros(1 << BUCKET_BITS, np.int64)
+    for batch in batches:
+        for bag in batch["buckets"]:
+            counts[np.frombuffer(bag.as_buffer(), np.uint16)] += 1  # a bag has each once
+    some = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(some.astype(np.int32)), pa.array(counts[some])], names=["bucket", "n"]
     )
 
 
+def only_common(batch: pa.RecordBatch, common: np.ndarray) -> pa.RecordBatch:
+    """Packed bags without the buckets that are not common."""
+    buckets, shares = [], []
+    for bag, parts in zip(batch["buckets"], batch["shares"], strict=True):
+        bag = np.frombuffer(bag.as_buffer(), np.uint16)
+        some = common[bag]
+        buckets.append(bag[some].tobytes())
+        shares.append(np.frombuffer(parts.as_buffer(), np.float16)[some].tobytes())
+    return pa.RecordBatch.from_arrays(
+        [batch["h"], batch["toxic"], pa.array(buckets, pa.binary()), pa.array(shares, pa.binary())],
+        names=["h", "toxic", "buckets", "shares"],
+    )
+
+
+def joined(column: pa.ChunkedArray, order: np.ndarray, offsets: np.ndarray, kind) -> np.ndarray:
+    """The numbers of packed rows in a given order, copied once; ``offsets`` are in that order."""
+    out = np.empty(offsets[-1], kind)
+    for row, begin, end in zip(order.tolist(), offsets[:-1], offsets[1:], strict=True):
+        out[begin:end] = np.frombuffer(column[row].as_buffer(), kind)
+    return out
+
+
 def log_odds(texts: list[bytes], of_bucket: np.ndarray) -> np.ndarray:
     """The average of what the buckets of each text add to the log odds."""
     words = subword_words(texts)
@@ -181,15 +217,14 @@ def log_odds(texts: list[bytes], of_bucket: np.ndarray) -> np.ndarray:
     return np.bincount(words.text, words.weight * total / counts_of(words), len(texts))
 
 
-def trained(labels: np.ndarray, offsets: np.ndarray, buckets: np.ndarray, shares: np.ndarray, prior: float) -> Model:
+def trained(
+    labels: np.ndarray, offsets: np.ndarray, buckets: np.ndarray, shares: np.ndarray, common: np.ndarray, prior: float
+) -> Model:
     """Vectors and softmax by gradient steps (Adam) on batches of bags, always in one order.
 
-    The prior of the sample is taken off again, so that ``prior`` alone holds.
+    The bags hold ``common`` buckets only; others have no effect. The prior of the sample
+    is taken off again, so that ``prior`` alone holds.
     """
-    common = np.bincount(buckets, minlength=1 << BUCKET_BITS) >= max(2, LEAST * len(labels))
-    some = common[buckets]
-    offsets = np.concatenate([[0], np.cumsum(some)])[offsets]
-    buckets, shares = buckets[some], shares[some]
     prior -= float(np.log((labels == 1).sum() / (labels == 0).sum()))
     random = np.random.default_rng(17)
     n_buckets = 1 << BUCKET_BITS
@@ -244,7 +279,8 @@ def fit(
     """A model of the labelled documents, from at most ``rows`` toxic and other ones.
 
     The sample is the same in every run: the first rows in the order of a hash of the
-    id. Only it reaches the driver, as bags of buckets. The shares of the labels among
+    id. Only it reaches the driver, as bags of buckets without those that are too rare to
+    have an effect, which are counted and left out before. The shares of the labels among
     all labelled rows set the prior. Rows without an id or a label are left out; without
     rows of both labels the model gives the prior alone.
     """
@@ -264,22 +300,32 @@ def fit(
         .join(sample, "id")
         .select("toxic", "text", F.xxhash64("id", "text").alias("h"))
     )
-    order = texts.orderBy("h").select("toxic", "text")
-    found = order.mapInArrow(
-        lambda batches: (packed_bags(b) for b in batches),
-        "toxic int, buckets binary, shares binary",
-    ).toArrow()
+    packed = "h long, toxic int, buckets binary, shares binary"
+    bagged = saved(texts.mapInArrow(lambda batches: (packed_bags(b) for b in batches), packed))
+    least = max(2, LEAST * bagged.count())
+    often = (
+        bagged.mapInArrow(frequencies, "bucket int, n long")
+        .groupBy("bucket")
+        .agg(F.sum("n").alias("n"))
+        .where(F.col("n") >= least)
+        .toArrow()
+    )
+    common = np.zeros(1 << BUCKET_BITS, bool)
+    common[often["bucket"].to_numpy()] = True
+    found = bagged.mapInArrow(lambda batches: (only_common(b, common) for b in batches), packed).toArrow()
+    order = np.argsort(found["h"].to_numpy(), kind="stable")
+    toxic = found["toxic"].to_numpy()[order]
     empty = Model(
         np.zeros((1 << BUCKET_BITS, DIM), np.float32), np.zeros((DIM, 2)), np.zeros(2), prior
     )
-    if len(set(found["toxic"].to_pylist())) < 2:
+    if len(np.unique(toxic)) < 2:
         return empty
-    sizes = np.array([len(b) // 2 for b in found["buckets"].to_pylist()], np.int64)
-    toxic = found["toxic"].to_numpy()
-    buckets = np.frombuffer(b"".join(found["buckets"].to_pylist()), np.uint16)
-    shares = np.frombuffer(b"".join(found["shares"].to_pylist()), np.float16)
+    sizes = pc.binary_length(found["buckets"]).to_numpy()[order] // 2
+    offsets = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+    buckets = joined(found["buckets"], order, offsets, np.uint16)
+    shares = joined(found["shares"], order, offsets, np.float16)
     del found
-    return trained(toxic, np.concatenate([[0], np.cumsum(sizes)]), buckets, shares, prior)
+    return trained(toxic, offsets, buckets, shares, common, prior)
 
 
 def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -81,3 +81,27 @@ def test_without_labels(spark, docs_of):
     labels = spark.createDataFrame([(1, None), (None, 1), (2, 0)], "doc_id long, toxic int")
     model = toxicity.fit(docs_of([(1, "a"), (2, "b")]), labels)
     assert [r["predicted"] for r in toxicity.scores(docs_of([(1, "a")]), model).collect()] == [0]
+
+
+def test_the_whole_sample_is_fitted(tables, spark, monkeypatch):
+    """1,500 toxic and 4,500 other documents, with every common bucket of theirs and no other."""
+    assert toxicity.FIT_ROWS == (1500, 4500)
+    docs, labels, rows, known = tables
+    seen = []
+    monkeypatch.setattr(toxicity, "trained", lambda *given: seen.append(given))
+    toxicity.fit(docs.repartition(5), labels, rows=(50, 150))
+    toxic, offsets, buckets, shares, common, _ = seen[0]
+    assert (toxic == 1).sum() == 50 and (toxic == 0).sum() == 150 and offsets[-1] == len(buckets) == len(shares)
+    from collections import Counter
+
+    import pyarrow as pa
+
+    frame = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "xxhash64(doc_id) k", "xxhash64(doc_id, text) h")
+    picked = sorted(frame.collect(), key=lambda r: (r["k"], r["doc_id"]))
+    picked = [r for label, most in ((1, 50), (0, 150)) for r in [r for r in picked if known[r["doc_id"]] == label][:most]]
+    picked.sort(key=lambda r: r["h"])
+    batch = pa.RecordBatch.from_arrays([pa.array([0] * 200, pa.int32()), pa.array([r["text"] for r in picked])], names=["toxic", "text"])
+    plain = toxicity.bags(batch)["buckets"].to_pylist()
+    n = Counter(b for bag in plain for b in bag)
+    assert set(np.flatnonzero(common)) == {b for b, k in n.items() if k >= 2}
+    assert [buckets[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:], strict=True)] == [[b for b in bag if n[b] >= 2] for bag in plain]
