@@ -1,5 +1,6 @@
 """Licence texts and notices found by Dice's coefficient over word bigrams."""
 
+from bisect import bisect
 from collections.abc import Iterator, Mapping
 
 import pyarrow as pa
@@ -38,6 +39,59 @@ def bigrams(tokens: list[str]) -> set[tuple[str, str]]:
     return set(zip(tokens, tokens[1:], strict=False))
 
 
+def windows(
+    tokens: list[str], known: Mapping[str, set[tuple[str, str]]], anything: frozenset, similarity: float
+) -> list[tuple[int, int, str, float, int]]:
+    """``first, last, licence, dice, n_bigrams`` of runs of words that are alike to a template.
+
+    The bigrams at the ends of the best run for a template are the template's, and its
+    first occurs once in it, as a run without them is at least as alike. So a run starts
+    at each such bigram and goes on until that occurs again or the run holds more bigrams
+    than fit. Of runs that overlap, the one sharing most bigrams with its template stays,
+    then the most alike, then the first by name.
+    """
+    pairs = list(zip(tokens, tokens[1:], strict=False))
+    hits = [at for at, pair in enumerate(pairs) if pair in anything]
+    own = {pairs[at] for at in hits}
+    ratio = similarity / (2 - similarity)
+    runs = []
+    for name, template in known.items():
+        if len(own & template) < len(template) * ratio - 1e-9:
+            continue
+        most = len(template) / ratio + 1e-9
+        for start in hits:
+            if pairs[start] not in template:
+                continue
+            seen, shared, top = set(), 0, None
+            for at in range(start, len(pairs)):
+                pair = pairs[at]
+                if pair in seen:
+                    if pair == pairs[start]:
+                        break
+                    continue
+                seen.add(pair)
+                if len(seen) > most:
+                    break
+                if pair in template:
+                    shared += 1
+                    dice = 2 * shared / (len(seen) + len(template))
+                    if dice >= similarity and (top is None or dice > top[1]):
+                        top = (shared, dice, at + 1, len(seen))
+                    if shared == len(template):
+                        break
+            if top:
+                runs.append((-top[0], -top[1], name, start, top[2], top[3]))
+    chosen: list[tuple[int, int, str, float, int]] = []
+    taken: list[tuple[int, int]] = []
+    for _, less, name, first, last, size in sorted(runs):
+        at = bisect(taken, (first, last))
+        if (at and taken[at - 1][1] >= first) or (at < len(taken) and taken[at][0] <= last):
+            continue
+        taken.insert(at, (first, last))
+        chosen.append((first, last, name, -less, size))
+    return sorted(chosen)
+
+
 def licences(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -48,7 +102,11 @@ def licences(
     """``id, line, n_lines, licence, dice, n_bigrams`` of every part of a text that is a licence.
 
     The parts of a text are its lines, its paragraphs (lines up to an empty one) where
-    they have several lines, and the whole where it has several paragraphs. A part and a
+    they have several lines, the whole where it has several paragraphs, and all runs of
+    words, inside a line or across lines and empty lines (see ``windows``). A run is given
+    by the lines it lies in, unless one of the other parts around it is given for the same
+    licence; they are looked for unless ``similarity`` is below ``SIMILARITY``, where runs
+    with free ends are alike to anything. A part and a
     template are alike when Dice's coefficient of their sets of word bigrams is at least
     ``similarity``. It is at most ``2 min / (sum)`` of the set sizes, so a template is
     compared only with parts of fitting size, and a part that fits no template's size
@@ -64,6 +122,7 @@ def licences(
     ratio = similarity / (2 - similarity)
     sizes = [len(pairs) for pairs in known.values()]
     least = min(sizes, default=1) * ratio
+    runs = similarity >= SIMILARITY
     id_type = docs.select(F.col(id_col).alias("id")).schema["id"].dataType
 
     def best(pairs: set) -> tuple[str, float] | None:
@@ -80,8 +139,7 @@ def licences(
                 found = (name, dice)
         return found
 
-    def parts(text: str) -> Iterator[tuple[int, int, list[list[str]]]]:
-        lines = [words(line) for line in text.split("\n")]
+    def parts(lines: list[list[str]]) -> Iterator[tuple[int, int, list[list[str]]]]:
         for number, tokens in enumerate(lines):
             yield number, 1, [tokens]
         starts, paragraphs = 0, 0
@@ -100,14 +158,25 @@ def licences(
         for batch in batches:
             rows = []
             for row, text in enumerate(batch["text"].to_pylist()):
-                for line, n_lines, tokens in parts(text):
+                lines = [words(line) for line in text.split("\n")]
+                given = []
+                for line, n_lines, tokens in parts(lines):
                     flat = tokens[0] if len(tokens) == 1 else [w for t in tokens for w in t]
                     if len(flat) <= least:
                         continue
                     pairs = bigrams(flat)
                     found = best(pairs)
                     if found:
+                        given.append((line, line + n_lines, found[0]))
                         rows.append((row, line, n_lines, *found, len(pairs)))
+                if not runs:
+                    continue
+                of_word = [number for number, tokens in enumerate(lines) for _ in tokens]
+                every = [w for tokens in lines for w in tokens]
+                for first, last, name, dice, size in windows(every, known, anything, similarity):
+                    line, end = of_word[first], of_word[last] + 1
+                    if not any(a < end and line < b and name == other for a, b, other in given):
+                        rows.append((row, line, end - line, name, dice, size))
             columns = list(zip(*rows, strict=True)) or [[]] * 6
             ids = batch["id"].take(pa.array(columns[0], pa.int64()))
             types = [pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.int64()]
