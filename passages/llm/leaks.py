@@ -63,13 +63,20 @@ def shingles(words: np.ndarray) -> set[int]:
     return set(mix(Hashes(words, BASE).windows(min(SHINGLE, len(words)))).tolist())
 
 
+def answer_mark(text: str):
+    """The last mark of an answer that a question stands before, if any."""
+    import re
+
+    marks = list(re.finditer(r"(?im)^\s*(?:answer|a)\s*[:.)]", text))
+    return marks[-1] if marks and text[: marks[-1].start()].strip() else None
+
+
 def question_and_answer(text: str) -> tuple[str, str]:
     """The parts of an item: an answer begins at a mark, else it is the last sentence."""
     import re
 
-    marks = list(re.finditer(r"(?im)^\s*(?:answer|a)\s*[:.)]", text))
-    if marks and text[: marks[-1].start()].strip():
-        return text[: marks[-1].start()], text[marks[-1].end() :]
+    if mark := answer_mark(text):
+        return text[: mark.start()], text[mark.end() :]
     stripped = text.rstrip()
     ends = [m.end() for m in re.finditer(r"[.!?]\s+", stripped)]
     return (stripped[: ends[-1]], stripped[ends[-1] :]) if ends else (stripped, "")
@@ -114,9 +121,11 @@ class Index:
             question, answer = question_and_answer(text)
             q = terms_of([question.encode(), answer.encode()])
             a = q.hashes[q.first[1] : q.last[1]]
-            words = q.hashes[q.first[0] : q.last[0]]
+            marked = answer_mark(text) is not None
+            # Prose is asked as a whole; its last sentence alone decides nothing.
+            words = q.hashes[q.first[0] : q.last[0]] if marked else terms_of([text.encode()]).hashes
             self.sizes.append(min(SHINGLE, max(1, len(words))))
-            self.parts.append((shingles(words), set(a.tolist())))
+            self.parts.append((shingles(words), set(a.tolist()), marked))
 
     def may_retrieve(self, passage: np.ndarray, term: np.ndarray, n: int) -> np.ndarray:
         """Passages of which some item may reach the threshold, by an upper bound.
@@ -207,11 +216,12 @@ def leaks(
     Every text is cut into passages of twice the words of the longest item, each half
     over the next, so that an item lies whole in one. Each passage asks a BM25 index of
     the items for all of them that score at least half of what the item's own text would
-    score. Each is then verified: of the question's five-word shingles, at least
-    ``similarity`` must be in the passage, and so must that part of the answer's words.
-    An item's answer begins at a line ``Answer:`` or ``A:``, else it is the last sentence;
-    an item of one sentence has none, and only the question counts. A row per text and
-    item, for the passage with most of the question, the first of equals.
+    score. Each is then verified. Where an item marks an answer, by a line ``Answer:`` or
+    ``A:``, at least ``similarity`` of the question's five-word shingles must be in the
+    passage, and so must that part of the answer's words. Of any other item so much of
+    the shingles of its whole text must be there; ``question_overlap`` is that of the
+    whole text then, and ``answer_overlap``, of the last sentence, decides nothing. A row
+    per text and item, for the passage with most of the question, the first of equals.
 
     The texts are read once per shard of the index (one, up to ``SHARD_BYTES`` of items)
     and not shuffled; document frequencies are counted over all items. Items without
@@ -359,13 +369,13 @@ def _search_slab(texts: list[bytes], index: Index, length: int, similarity: floa
         own_shingles: dict[int, set] = {}
         own_words = set(own.tolist())
         for item, score in hits:
-            question, answer = index.parts[item]
+            question, answer, marked = index.parts[item]
             size = index.sizes[item]
             if size not in own_shingles:
                 own_shingles[size] = set(mix(Hashes(own, BASE).windows(size)).tolist())
             q = len(question & own_shingles[size]) / len(question) if question else 1.0
             a = len(answer & own_words) / len(answer) if answer else 1.0
-            if q >= similarity and a >= similarity:
+            if q >= similarity and (a >= similarity or not marked):
                 found.append((t, item, start - int(terms.first[t]), score, q, a))
     best: dict[tuple[int, int], tuple] = {}
     for row in found:

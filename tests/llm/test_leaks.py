@@ -59,6 +59,23 @@ def test_half_an_item_and_a_question_without_its_answer(docs_of, spark):
     assert [r["id"] for r in leaks(docs_of(rows), items).collect()] == [1]
 
 
+def test_prose_cut_before_or_altered_in_its_last_sentence(docs_of, spark):
+    prose = "One two three four five six seven eight nine ten. Blue green red sun moon star sea sky hill lake. Ñ."
+    asked = "Which of all the rivers in the old north is longest by far?\nAnswer: Volga"
+    items = spark.createDataFrame([(1, prose), (2, asked)], "item_id long, text string")
+    cut = prose[: prose.rindex(".", 0, -1)]
+    rows = [
+        (1, f"x y {cut} z"),
+        (2, f"x y {cut}. Other."),
+        (3, prose[: prose.index(".")]),
+        (4, asked.replace("Volga", "none")),
+        (5, asked),
+    ]
+    found = {(r["id"], r["item_id"]) for r in leaks(docs_of(rows), items).collect()}
+    assert found == {(1, 1), (2, 1), (5, 2)}
+    assert sorted(r["doc_id"] for r in without_leaks(docs_of(rows), items).collect()) == [3, 4]
+
+
 def test_block_max_wand_gives_all_above_the_threshold(monkeypatch):
     import pyarrow as pa
 
