@@ -10,6 +10,7 @@ from passages.llm.jaccard import shingle_components
 from passages.llm.leaks import leaks
 from passages.llm.licences import licences
 from passages.llm.mixing import mixed
+from passages.llm.packing import packed
 from passages.llm.substrings import without_repeats
 from passages.llm import toxicity
 from passages.llm.suffixes import without_repeats as without_repeated_bytes
@@ -87,6 +88,15 @@ def op10_extraction(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_packing(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    found = packed(_table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return found.withColumnsRenamed(
+        {"id": "doc_id", "crc": "ids_crc32", "sequence": "sequence_id"}
+    )
+
+
 QUERIES = {
     "op1_substrings": op1_substrings,
     "op2_conversations": op2_conversations,
@@ -98,4 +108,5 @@ QUERIES = {
     "op8_jaccard": op8_jaccard,
     "op9_licences": op9_licences,
     "op10_extraction": op10_extraction,
+    "op11_packing": op11_packing,
 }
