@@ -11,6 +11,10 @@ def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
+def _sized(text: str) -> str:
+    return f"coalesce(strlen({text}) || ':' || {text}, '-')"
+
+
 def _template(name: str, text: str) -> str:
     pairs = ", ".join(_quoted(f"{a} {b}") for a, b in sorted(bigrams(words(text))))
     return f"({_quoted(name)}, [{pairs}])"
@@ -95,4 +99,65 @@ plain AS (
       '\s+', ' ', 'g'))), lambda x: x <> '') AS b FROM blocks)
 SELECT page_id, url, array_to_string(b, chr(10)) AS text,
        length(array_to_string(b, chr(10)))::BIGINT AS n_chars FROM plain""",
+    "op12_manifest": f"""
+WITH RECURSIVE crcs AS (
+  SELECT DISTINCT doc_id, xor(list_reduce(
+      list_prepend(4294967295::BIGINT, list_transform(range(1, length(doc_id::VARCHAR) + 1),
+        lambda k: ascii(substr(doc_id::VARCHAR, k::INT, 1))::BIGINT)),
+      lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), range(8)),
+        lambda x, step: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END))),
+    4294967295::BIGINT) AS crc
+  FROM documents),
+rows AS (
+  SELECT doc_id, lang, crc % 3 = 0 AS altered,
+         {_sized("doc_id::VARCHAR")} || {_sized("source")} || {_sized("lang")}
+           || {_sized("n_chars::VARCHAR")} AS known,
+         {_sized("text")} AS plain, {_sized(f"translate(text, '{UPPER}', '{LOWER}')")} AS changed
+  FROM documents LEFT JOIN crcs USING (doc_id)),
+digests AS (
+  SELECT doc_id, coalesce('=' || lang, '') AS tree, sha256(known || plain) AS leaf,
+         sha256(known || CASE WHEN altered THEN changed ELSE plain END) AS claim FROM rows),
+leaves AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place,
+         count(*) OVER (PARTITION BY tree) AS n FROM digests),
+nodes AS (
+  SELECT tree, 0 AS level, place, n, leaf AS digest FROM leaves
+  UNION ALL
+  SELECT tree, level + 1, place // 8, (any_value(n) + 7) // 8, sha256(string_agg(digest, '' ORDER BY place))
+  FROM nodes WHERE n > 1 GROUP BY tree, level, place // 8),
+roots AS MATERIALIZED (
+  SELECT tree, digest, row_number() OVER (ORDER BY encode(tree)) - 1 AS place, count(*) OVER () AS n
+  FROM nodes WHERE n = 1),
+uppers AS (
+  SELECT 0 AS level, place, n, digest FROM roots
+  UNION ALL
+  SELECT level + 1, place // 8, (any_value(n) + 7) // 8, sha256(string_agg(digest, '' ORDER BY place))
+  FROM uppers WHERE n > 1 GROUP BY level, place // 8),
+runs AS MATERIALIZED (
+  SELECT tree, level, place // 8 AS run, list(digest ORDER BY place) AS digests
+  FROM nodes WHERE n > 1 GROUP BY ALL
+  UNION ALL
+  SELECT NULL, level, place // 8, list(digest ORDER BY place) FROM uppers WHERE n > 1 GROUP BY ALL),
+folds AS (
+  SELECT doc_id, leaf, tree, tree AS own, 0 AS level, place, claim AS node, '' AS proof FROM leaves
+  UNION ALL
+  SELECT doc_id, leaf, tree, own, level + 1, place // 8,
+         sha256(array_to_string(before, '') || node || array_to_string(after, '')),
+         proof || array_to_string(before, '') || array_to_string(after, '')
+  FROM (SELECT f.*, digests[: f.place % 8] AS before, digests[f.place % 8 + 2 :] AS after
+        FROM folds f JOIN runs r ON f.own = r.tree AND f.level = r.level AND f.place // 8 = r.run)),
+climbs AS (
+  SELECT f.doc_id, f.leaf, f.tree, 0 AS level, r.place, f.node, f.proof
+  FROM (SELECT * FROM folds QUALIFY level = max(level) OVER (PARTITION BY tree)) f
+    JOIN roots r USING (tree)
+  UNION ALL
+  SELECT doc_id, leaf, tree, level + 1, place // 8,
+         sha256(array_to_string(before, '') || node || array_to_string(after, '')),
+         proof || array_to_string(before, '') || array_to_string(after, '')
+  FROM (SELECT c.*, digests[: c.place % 8] AS before, digests[c.place % 8 + 2 :] AS after
+        FROM climbs c JOIN runs r ON r.tree IS NULL AND c.level = r.level AND c.place // 8 = r.run))
+SELECT doc_id, leaf, roots.digest AS subroot, uppers.digest AS root, sha256(proof) AS proof_sha256,
+       node AS folded_root, node = uppers.digest AS verified
+FROM (SELECT * FROM climbs QUALIFY level = max(level) OVER ()) JOIN roots USING (tree)
+  JOIN uppers ON uppers.n = 1""",
 }

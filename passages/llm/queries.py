@@ -4,11 +4,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from passages.llm.chat import conversations
-from passages.llm.exact import exact_duplicates
+from passages.llm.exact import ascii_lower, exact_duplicates
 from passages.llm.extraction import extract
 from passages.llm.jaccard import shingle_components
 from passages.llm.leaks import leaks
 from passages.llm.licences import licences
+from passages.llm.manifest import leaf_digest, manifest
 from passages.llm.mixing import mixed
 from passages.llm.packing import packed
 from passages.llm.substrings import without_repeats
@@ -97,6 +98,22 @@ def op11_packing(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op12_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    known = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    altered = F.crc32(F.col("doc_id").cast("string")) % 3 == 0
+    leaves = docs.select(
+        "doc_id",
+        "lang",
+        leaf_digest(*known, F.col("text")).alias("leaf"),
+        F.when(altered, leaf_digest(*known, ascii_lower(F.col("text")))).alias("claim"),
+    )
+    found = manifest(leaves, claim_col="claim").proofs()
+    return found.withColumnsRenamed(
+        {"id": "doc_id", "proof": "proof_sha256", "folded": "folded_root"}
+    )
+
+
 QUERIES = {
     "op1_substrings": op1_substrings,
     "op2_conversations": op2_conversations,
@@ -109,4 +126,5 @@ QUERIES = {
     "op9_licences": op9_licences,
     "op10_extraction": op10_extraction,
     "op11_packing": op11_packing,
+    "op12_manifest": op12_manifest,
 }
