@@ -160,4 +160,42 @@ SELECT doc_id, leaf, roots.digest AS subroot, uppers.digest AS root, sha256(proo
        node AS folded_root, node = uppers.digest AS verified
 FROM (SELECT * FROM climbs QUALIFY level = max(level) OVER ()) JOIN roots USING (tree)
   JOIN uppers ON uppers.n = 1""",
+    "op13_divergence": f"""
+WITH texts AS (
+  SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'),
+           '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents),
+terms AS (SELECT doc, lang, source, unnest(t) AS term FROM texts),
+kept AS MATERIALIZED (
+  SELECT lang, term FROM terms GROUP BY lang, term HAVING count(DISTINCT doc) >= 3),
+counts AS MATERIALIZED (
+  SELECT lang, source, term, count(*) AS n FROM terms SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+groups AS (SELECT DISTINCT lang, source FROM texts),
+kinds AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+totals AS (
+  SELECT lang, source, coalesce(sum(n), 0) AS total FROM groups LEFT JOIN counts USING (lang, source)
+  GROUP BY ALL),
+shares AS MATERIALIZED (
+  SELECT lang, source, term, coalesce(n, 0) AS n,
+         (1 + (1000000000::HUGEINT * (coalesce(n, 0) + 1)) // (total + v))::HUGEINT AS p
+  FROM totals JOIN kinds USING (lang) JOIN kept USING (lang) LEFT JOIN counts USING (lang, source, term)),
+wholes AS (SELECT lang, sum(total) AS whole FROM totals GROUP BY lang),
+usual AS (
+  SELECT lang, term, (1 + (1000000000::HUGEINT * (sum(n) + 1)) // (any_value(whole) + any_value(v)))::HUGEINT AS q
+  FROM counts JOIN wholes USING (lang) JOIN kinds USING (lang) GROUP BY lang, term),
+pairs AS (
+  SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source
+  GROUP BY ALL),
+every AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN pairs ON pairs.lang = a.lang AND pairs.source = a.source AND pairs.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, (((p - q) * (p - q)) // q)::BIGINT
+  FROM shares JOIN usual USING (lang, term) WHERE n > 0 AND p > q)
+SELECT * FROM (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item))::INT AS rank
+  FROM every)
+WHERE part = 'pair' OR rank <= 200""",
 }

@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from passages.llm.chat import conversations
+from passages.llm.divergence import divergence
 from passages.llm.exact import ascii_lower, exact_duplicates
 from passages.llm.extraction import extract
 from passages.llm.jaccard import shingle_components
@@ -114,6 +115,10 @@ def op12_manifest(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op13_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence(_table(spark, folder, "documents"))
+
+
 QUERIES = {
     "op1_substrings": op1_substrings,
     "op2_conversations": op2_conversations,
@@ -127,4 +132,5 @@ QUERIES = {
     "op10_extraction": op10_extraction,
     "op11_packing": op11_packing,
     "op12_manifest": op12_manifest,
+    "op13_divergence": op13_divergence,
 }
