@@ -18,6 +18,8 @@ KEPT_CHARS = 40
 # White_Space of Unicode, fixed values.
 _SPACE = r"\t\n\v\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 _INNER_BLANK = f"[{_SPACE}] ([{_SPACE}]|$)"
+# A word and a mark that ends it are never one token.
+_WORD_END = r"([\p{L}\p{N}])([.,;:!?)])"
 _MARK = "\x00"
 
 
@@ -37,9 +39,9 @@ class Encoder:
 
     The file must hold a byte-level BPE that splits texts into words with a blank only in
     front, as published byte-level vocabularies do: then no token crosses a blank that has
-    no white space on one of its sides, and texts can be cut there. Words are told apart in
-    Arrow; only those that are new to this worker reach the tokenizer. Strings of special
-    tokens in a text are ordinary text.
+    no white space on one of its sides, nor the end of a word, and texts can be cut there.
+    Words are told apart in Arrow; only those that are new to this worker reach the
+    tokenizer. Strings of special tokens in a text are ordinary text.
     """
 
     def __init__(self, path: str):
@@ -65,7 +67,9 @@ class Encoder:
 
     def _plain(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row and the end of each, for texts cut at their blanks."""
-        cut = pc.split_pattern(pc.replace_substring(texts, " ", _MARK + " "), _MARK)
+        marked = pc.replace_substring(texts, " ", _MARK + " ")
+        marked = pc.replace_substring_regex(marked, _WORD_END, f"\\1{_MARK}\\2")
+        cut = pc.split_pattern(marked, _MARK)
         coded = cut.flatten().dictionary_encode()
         ids = self._of_words(coded.dictionary.to_pylist())
         counts = np.fromiter(map(len, ids), np.int64, len(ids)) // 4

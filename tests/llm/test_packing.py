@@ -116,7 +116,7 @@ def test_plans_of_many_pieces_reach_the_bound(kind):
 def test_words_give_the_ids_of_whole_texts(plain, odd_rows, random_rows):
     draw = random.Random(1)
     parts = ["a", "b'", "'s", " ", "  ", "\n", "\t", "\xa0", "\x1c", "\x85", "　", "é", "日"]
-    parts += ["1", "²", "_", ",", "\x00", "<|endoftext|>", "́", "🎉", "\x0b", "x" * 60]
+    parts += [".", "!)", "1", "²", "_", ",", "\x00", "<|endoftext|>", "́", "🎉", "\x0b", "x" * 60]
     texts = ["".join(draw.choices(parts, k=draw.randint(0, 14))) for _ in range(3000)]
     texts += [row[1] for row in odd_rows + random_rows]
     found = Encoder(PATH).ids(pa.array(texts))
