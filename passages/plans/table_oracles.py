@@ -129,7 +129,7 @@ def _ranked(pairs: str) -> str:
     )
 
 
-def _knn(vector: str) -> str:
+def _knn(vector: str, asked: str = "true") -> str:
     """Neighbours among vectors of the same length, of which every number is finite."""
     own = (
         f"SELECT vec_id, {vector} AS v FROM embeddings"
@@ -137,12 +137,13 @@ def _knn(vector: str) -> str:
     )
     pairs = (
         f"SELECT q.vec_id AS query_id, e.vec_id AS id, {_distance('q.v', 'e.v')} AS distance"
-        f" FROM ({own}) q JOIN ({own}) e ON len(q.v) = len(e.v)"
+        f" FROM ({own}) q JOIN ({own}) e ON len(q.v) = len(e.v) WHERE {asked}"
     )
     return _rounded(_ranked(pairs))
 
 
 KNN = _knn("embedding")
+KNN_HUNDREDTH = _knn("embedding", "q.vec_id % 100 = 0")
 
 LONG_VECTORS = f"""
 WITH {PASSAGES}, {_vectors("vectors", "passages", "id", "content")}
@@ -225,6 +226,7 @@ SELECT doc_id::VARCHAR AS video_id, {_count("text")} AS n_tokens FROM documents"
     "knn_exact": KNN,
     "knn_ivf": KNN,
     "knn_stored_cells": KNN,
+    "knn_join": KNN_HUNDREDTH,
     "knn_close": _knn("list_transform(embedding, lambda x: (x * 0.0001::DOUBLE)::FLOAT)"),
     "knn_odd_vectors": _knn(
         "CASE vec_id % 10 WHEN 0 THEN embedding[1:1] WHEN 1 THEN NULL"

@@ -22,6 +22,7 @@ from passages.operators.embedding import (
     failed_embeddings,
     lexical_model,
 )
+from passages.operators.pivots import join_nearest
 from passages.operators.prompts import add_answer, prompts
 from passages.operators.search import nearest_passages
 from passages.operators.transcripts import (
@@ -337,6 +338,17 @@ def knn_stored_cells(spark: SparkSession, folder: str) -> DataFrame:
     return _hits(nearest_passages(questions, vectors, K, cells=read_cells(spark, path)))
 
 
+def _hundredth(vectors: DataFrame) -> DataFrame:
+    """The questions of a search among all vectors: those with an id divisible by 100."""
+    return vectors.where("id % 100 = 0").withColumnRenamed("id", "query_id")
+
+
+def knn_join(spark: SparkSession, folder: str) -> DataFrame:
+    """One vector in a hundred against all, both sides dealt into blocks."""
+    _, vectors = _vector_table(spark, folder)
+    return _hits(join_nearest(_hundredth(vectors), vectors, DIM, K))
+
+
 def knn_close(spark: SparkSession, folder: str) -> DataFrame:
     """Vectors so close that their distances agree in the first six decimals."""
     _, vectors = _vector_table(spark, folder)
@@ -481,6 +493,7 @@ QUERIES = {
     "knn_exact": knn_exact,
     "knn_ivf": knn_ivf,
     "knn_stored_cells": knn_stored_cells,
+    "knn_join": knn_join,
     "knn_close": knn_close,
     "knn_odd_vectors": knn_odd_vectors,
     "question_retrieval": question_retrieval,
