@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from passages.operators import nearest
+from passages.operators.context import last_of_repeated
 from passages.operators.embedding import valid_embeddings
 from passages.operators.hits import ranked
 from passages.sources.checkpoints import materialised
@@ -78,14 +79,24 @@ def _assign(vectors: DataFrame, centers: np.ndarray) -> DataFrame:
 
 
 def fit_cells(
-    vectors: DataFrame, dim: int, n_cells: int | None = None, seed: int = 0
+    vectors: DataFrame,
+    dim: int,
+    n_cells: int | None = None,
+    seed: int = 0,
+    last_by: list[str] | None = None,
 ) -> Cells:
     """Fit centres on all vectors, assign every vector and measure the cells.
 
     ``vectors(id, embedding)``; only vectors of ``dim`` finite numbers are in cells. They
     are computed once and kept, and so are the assigned ones; fitted cells serve any
-    number of batches of questions and can be written (``write_cells``).
+    number of batches of questions and can be written (``write_cells``). Without
+    ``n_cells`` there are as many as the square root of the number of vectors, within
+    ``MAX_CELLS`` and what ``CENTER_BYTES`` hold; more cells than vectors are an error.
+
+    Of rows that repeat an id the last by ``last_by``, then by the other columns, counts,
+    as in a search without cells: the others are in no cell, whether it can be searched or not.
     """
+    vectors = last_of_repeated(vectors, last_by)
     most = min(MAX_CELLS, CENTER_BYTES // (8 * dim))
     if n_cells is not None and not 1 <= n_cells <= most:
         raise ValueError(f"n_cells must be between 1 and {most} at {dim} dimensions")
@@ -97,9 +108,11 @@ def fit_cells(
     n_rows = vectors.count()
     if n_cells is None:
         n_cells = min(int(np.sqrt(n_rows)), most)
+    elif n_cells > max(n_rows, 1):
+        raise ValueError(f"{n_cells} cells of {n_rows} vectors: a cell needs one at least")
     # Any centre serves a single cell, and k-means wants two at least.
     centers = np.zeros((1, dim))
-    if 1 < n_cells <= n_rows:
+    if n_cells > 1:
         centers = _fit_centers(vectors, dim, n_cells, seed)
     assigned = materialised(_assign(vectors, centers))
     sizes, radii = np.zeros(len(centers), np.int64), np.zeros(len(centers))
@@ -155,7 +168,7 @@ def _wanted(questions: np.ndarray, bounds: np.ndarray, extent, first: int, rest:
     return wanted.sum(axis=1), order[wanted]
 
 
-def _with_visits(questions: DataFrame, cells: Cells, first: int, rest: bool) -> DataFrame:
+def with_visits(questions: DataFrame, cells: Cells, first: int, rest: bool) -> DataFrame:
     """One row per question and cell to visit, with the bound found so far.
 
     ``rest`` asks for the cells that are not among the ``first`` nearest ones and
@@ -188,20 +201,20 @@ def _with_visits(questions: DataFrame, cells: Cells, first: int, rest: bool) ->
     ).where("cell is not null")
 
 
-def _meet(visits: DataFrame, cells: Cells, k: int, schema: StructType) -> DataFrame:
-    """The k best hits per question and block of a cell.
+def in_blocks(
+    visits: DataFrame, rows: DataFrame, sizes: np.ndarray, block_rows: int
+) -> tuple[DataFrame, DataFrame]:
+    """``visits`` and ``rows``, which have a ``cell``, with ``slice`` and ``salt`` of the blocks
+    in which they meet.
 
-    A large cell is cut into ``salts`` blocks of vectors and a much visited one into
+    A large cell is cut into ``salts`` blocks of rows and a much visited one into
     ``slices`` of questions, so that no pair of blocks outgrows a task.
     """
-    dim = cells.centers.shape[1]
-    visits = materialised(visits)
-    block_rows = max(1, BLOCK_BYTES // (4 * dim))
     # One row per cell, at most MAX_CELLS.
     visited = {r["cell"]: r["count"] for r in visits.groupBy("cell").count().collect()}
     plan = visits.sparkSession.createDataFrame(
         [
-            (cell, int(-(-int(cells.sizes[cell]) // block_rows)), -(-n // BLOCK_QUESTIONS))
+            (cell, int(-(-int(sizes[cell]) // block_rows)), -(-n // BLOCK_QUESTIONS))
             for cell, n in visited.items()
         ],
         "cell int, salts int, slices int",
@@ -222,11 +235,19 @@ def _meet(visits: DataFrame, cells: Cells, k: int, schema: StructType) -> DataFr
         .drop("salts", "slices")
     )
     right = (
-        cells.vectors.join(plan, "cell")
+        rows.join(plan, "cell")
         .withColumn("salt", salt)
         .withColumn("slice", span("slices"))
         .drop("salts", "slices")
     )
+    return left, right
+
+
+def _meet(visits: DataFrame, cells: Cells, k: int, schema: StructType) -> DataFrame:
+    """The k best hits per question and block of a cell."""
+    dim = cells.centers.shape[1]
+    visits = materialised(visits)
+    left, right = in_blocks(visits, cells.vectors, cells.sizes, max(1, BLOCK_BYTES // (4 * dim)))
 
     def score(questions: pa.Table, vectors: pa.Table) -> pa.Table:
         id_type = vectors.schema.field("id").type
@@ -260,7 +281,7 @@ def search_cells(
     ``complete=False`` stops after the first cells: cheaper, and approximate.
     """
     unbounded = questions.select("query_id", "embedding", F.lit(float("inf")).alias("bound"))
-    hits = _meet(_with_visits(unbounded, cells, first_cells, rest=False), cells, k, schema)
+    hits = _meet(with_visits(unbounded, cells, first_cells, rest=False), cells, k, schema)
     if not complete:
         return hits
     hits = materialised(ranked(hits, k))
@@ -269,5 +290,5 @@ def search_cells(
     bounded = questions.join(bounds, "query_id", "left").select(
         "query_id", "embedding", F.coalesce("kth", F.lit(float("inf"))).alias("bound")
     )
-    more = _meet(_with_visits(bounded, cells, first_cells, rest=True), cells, k, schema)
+    more = _meet(with_visits(bounded, cells, first_cells, rest=True), cells, k, schema)
     return hits.drop("rank").unionByName(more)

@@ -12,9 +12,9 @@ BROADCAST_HITS_BYTES = 256 << 20
 ROW_BYTES = 96
 
 
-def _marked(hits: DataFrame) -> DataFrame:
+def marked_small(hits: DataFrame) -> DataFrame:
     """Hits, kept, and marked to be broadcast by a join if they are small enough."""
-    hits = materialised(hits.select("query_id", "id", "rank"))
+    hits = materialised(hits)
     text = F.octet_length(F.col("query_id").cast("string")) + F.octet_length(
         F.col("id").cast("string")
     )
@@ -34,7 +34,7 @@ def retrieved(
     """
     order = list(dict.fromkeys([*(last_by or []), *fields]))
     wanted = list(dict.fromkeys([*order, "id"]))
-    joined = passages.select(*wanted).join(_marked(hits), "id")
+    joined = passages.select(*wanted).join(marked_small(hits.select("query_id", "id", "rank")), "id")
     # After the join only rows of hits are left, and copies shrink before the shuffle.
     last = F.max_by(F.struct(*fields), F.struct(*order)).alias("last")
     return joined.groupBy("query_id", "rank").agg(last).select("query_id", "rank", "last.*")

@@ -63,7 +63,7 @@ def tiles(rows: int, columns: int) -> Iterator[slice]:
     return (slice(start, start + step) for start in range(0, rows, step))
 
 
-def _leading(group: np.ndarray, k: int) -> np.ndarray:
+def leading(group: np.ndarray, k: int) -> np.ndarray:
     """Mask of the first k rows of each run of equal values."""
     first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if len(group) else np.array([], int)
     lengths = np.diff(np.r_[first, len(group)])
@@ -78,7 +78,7 @@ def _copies_beyond(vectors: np.ndarray, k: int) -> np.ndarray:
     if len(distinct) == len(rows):
         return np.arange(len(rows))
     order = np.argsort(group, kind="stable")
-    return np.sort(order[_leading(group[order], k)])
+    return np.sort(order[leading(group[order], k)])
 
 
 class Best:
@@ -135,7 +135,7 @@ class Best:
             row += tile.start
             value = self._measure(row, vectors, column)
             best = np.lexsort((column, value, row))
-            best = best[_leading(row[best], self.k)]
+            best = best[leading(row[best], self.k)]
             rows.append(row[best])
             columns.append(column[best])
             measured.append(value[best])
@@ -159,7 +159,7 @@ class Best:
 
     def _merge(self, fresh: pa.Table) -> None:
         merged = pa.concat_tables([self.found, fresh]).sort_by(_ORDER)
-        merged = merged.filter(pa.array(_leading(merged["query"].to_numpy(), self.k)))
+        merged = merged.filter(pa.array(leading(merged["query"].to_numpy(), self.k)))
         query, distance = merged["query"].to_numpy(), merged["distance"].to_numpy()
         full = np.bincount(query, minlength=len(self.questions)) >= self.k
         worst = np.zeros(len(self.questions))

@@ -23,8 +23,8 @@ def question_prompts(
 
     ``passages`` hold ``id``, ``embedding`` and the fields of a context row. Of rows that
     repeat an id, the last by ``last_by`` counts, in the search and in the context. With
-    ``cells``, which hold each id once, questions are answered from them, approximately
-    if not ``complete``.
+    ``cells``, fitted with the same ``last_by``, questions are answered from them,
+    approximately if not ``complete``.
     """
     if cells is None:
         passages = last_of_repeated(passages, last_by)

@@ -151,13 +151,18 @@ SELECT id, bucket, round(weight::DOUBLE, 6) AS weight
 FROM (SELECT id, unnest(v) AS weight, generate_subscripts(v, 1) - 1 AS bucket FROM vectors)
 WHERE weight <> 0"""
 
-_RETRIEVAL = f"""
+def _retrieval(vector: str) -> str:
+    distances = (
+        f"SELECT item_id AS query_id, id, {_distance('q.v', vector)} AS distance"
+        " FROM questions q, vectors p"
+    )
+    return f"""
 WITH {PASSAGES}, {_vectors("vectors", "passages", "id", "content")},
 {_vectors("questions", "benchmark", "item_id", "text")},
-hits AS MATERIALIZED ({_ranked(
-    "SELECT item_id AS query_id, id, " + _distance("q.v", "p.v")
-    + " AS distance FROM questions q, vectors p"
-)})"""
+hits AS MATERIALIZED ({_ranked(distances)})"""
+
+
+_RETRIEVAL = _retrieval("p.v")
 
 _BEFORE, _BETWEEN = DEFAULT_TEMPLATE.split("{context}")
 _BETWEEN, _AFTER = _BETWEEN.split("{input}")
@@ -227,6 +232,10 @@ SELECT doc_id::VARCHAR AS video_id, {_count("text")} AS n_tokens FROM documents"
     "knn_ivf": KNN,
     "knn_stored_cells": KNN,
     "knn_join": KNN_HUNDREDTH,
+    "knn_codes": KNN_HUNDREDTH,
+    "knn_codes_recall": """
+SELECT count(*) AS n_questions, true AS recall_reached, true AS exact_distances
+FROM embeddings WHERE vec_id % 100 = 0""",
     "knn_close": _knn("list_transform(embedding, lambda x: (x * 0.0001::DOUBLE)::FLOAT)"),
     "knn_odd_vectors": _knn(
         "CASE vec_id % 10 WHEN 0 THEN embedding[1:1] WHEN 1 THEN NULL"
@@ -237,6 +246,9 @@ SELECT doc_id::VARCHAR AS video_id, {_count("text")} AS n_tokens FROM documents"
 SELECT query_id, rank, id, video_id, title, content FROM hits JOIN passages USING (id)""",
     "context_repeated_ids": f"""{_RETRIEVAL}
 SELECT query_id, rank, id, video_id, title, content || {_quoted(LATER)} AS content
+FROM hits JOIN passages USING (id)""",
+    "context_cells_repeated": f"""{_retrieval("list_reverse(p.v)")}
+SELECT query_id, rank, id, video_id, title, content || {_quoted(LATER)} AS content
 FROM hits JOIN passages USING (id)""",
     "table_overwrite": """
 SELECT doc_id, lang, source, CASE WHEN lang = 'fr' THEN n_chars + 1 ELSE n_chars END AS n_chars

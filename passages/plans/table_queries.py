@@ -14,6 +14,7 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 from passages.functions.text import playlist_id, pretoken_count, published_at
 from passages.operators.cells import fit_cells, read_cells, write_cells
 from passages.operators.chunking import chunk_content, chunk_words
+from passages.operators.codes import fit_codes, read_codes, search_codes, write_codes
 from passages.operators.compare import frame_diff, sort_nulls_last, with_row_index
 from passages.operators.context import contexts, last_of_repeated, retrieved
 from passages.operators.embedding import (
@@ -349,6 +350,44 @@ def knn_join(spark: SparkSession, folder: str) -> DataFrame:
     return _hits(join_nearest(_hundredth(vectors), vectors, DIM, K))
 
 
+def _stored_codes(spark: SparkSession, vectors: DataFrame):
+    use_checkpoints(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/codes_{uuid4().hex}"
+    write_codes(fit_codes(fit_cells(vectors, DIM)), path)
+    return read_codes(spark, path)
+
+
+def knn_codes(spark: SparkSession, folder: str) -> DataFrame:
+    """One vector in a hundred against the codes of all, in all cells, 40 candidates a result."""
+    _, vectors = _vector_table(spark, folder)
+    codes = _stored_codes(spark, vectors)
+    found = search_codes(_hundredth(vectors), codes, K, len(codes.cells.centers), 40)
+    return _hits(found)
+
+
+def _recall(found: DataFrame, exact: DataFrame) -> DataFrame:
+    """``n_questions``, whether nine tenths of the exact results are found, and whether
+    those that are found have the exact distances."""
+    exact = exact.select("query_id", "id", F.col("distance").alias("exact"))
+    same = F.bool_and(F.col("distance") == F.col("exact"))
+    return exact.join(found, ["query_id", "id"], "left").agg(
+        F.count_distinct("query_id").alias("n_questions"),
+        (F.count("distance") / F.count("*") >= 0.9).alias("recall_reached"),
+        F.coalesce(same, F.lit(False)).alias("exact_distances"),
+    )
+
+
+def knn_codes_recall(spark: SparkSession, folder: str) -> DataFrame:
+    """The same in three quarters of the cells, held against the exact results.
+
+    The test vectors have no structure, so that neighbours lie in any cell."""
+    _, vectors = _vector_table(spark, folder)
+    questions = _hundredth(vectors)
+    codes = _stored_codes(spark, vectors)
+    found = search_codes(questions, codes, K, -(-3 * len(codes.cells.centers) // 4), 20)
+    return _recall(found, nearest_passages(questions, spread(vectors), K))
+
+
 def knn_close(spark: SparkSession, folder: str) -> DataFrame:
     """Vectors so close that their distances agree in the first six decimals."""
     _, vectors = _vector_table(spark, folder)
@@ -399,6 +438,19 @@ def context_repeated_ids(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("query_id", F.col("rank").cast("bigint").alias("rank"), *FIELDS)
 
 
+def context_cells_repeated(spark: SparkSession, folder: str) -> DataFrame:
+    """The same by cells, with later copies that also have another vector."""
+    first = materialised(_vectors(spark, folder).select(*FIELDS, "embedding"))
+    later = first.withColumns(
+        {"content": F.concat("content", F.lit(LATER)), "embedding": F.reverse("embedding")}
+    )
+    passages = first.withColumn("version", F.lit(0)).unionByName(later.withColumn("version", F.lit(1)))
+    cells = fit_cells(passages, DIM, last_by=["version"])
+    hits = nearest_passages(_questions(spark, folder), passages, K, cells=cells)
+    rows = retrieved(hits, passages, FIELDS, ["version"])
+    return rows.select("query_id", F.col("rank").cast("bigint").alias("rank"), *FIELDS)
+
+
 def table_overwrite(spark: SparkSession, folder: str) -> DataFrame:
     """Documents in a table by language, of which one language is written again, altered."""
     use_checkpoints(spark)
@@ -494,11 +546,14 @@ QUERIES = {
     "knn_ivf": knn_ivf,
     "knn_stored_cells": knn_stored_cells,
     "knn_join": knn_join,
+    "knn_codes": knn_codes,
+    "knn_codes_recall": knn_codes_recall,
     "knn_close": knn_close,
     "knn_odd_vectors": knn_odd_vectors,
     "question_retrieval": question_retrieval,
     "retrieved_context": retrieved_context,
     "context_repeated_ids": context_repeated_ids,
+    "context_cells_repeated": context_cells_repeated,
     "table_overwrite": table_overwrite,
     "rag_prompts": rag_prompts,
     "rag_answers": rag_answers,

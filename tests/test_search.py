@@ -251,6 +251,8 @@ def test_stored_cells_serve_another_session(spark, grid, tmp_path):
 
 
 def test_too_many_cells_are_an_error(spark, grid):
+    with pytest.raises(ValueError, match="a cell needs one"):
+        fit_cells(_frame(spark, "id", ["a", "b"], [[0, 1], [1, 0]]), 2, n_cells=3)
     with pytest.raises(ValueError, match="n_cells"):
         fit_cells(_frame(spark, "id", grid[2], grid[3]), 3, n_cells=cells.MAX_CELLS + 1)
 
@@ -317,3 +319,17 @@ def test_model_embeds_questions_once(spark, grid, tmp_path, options):
         options = {"cells": fit_cells(vectors, options["dim"])}
     assert nearest_passages(questions, vectors, 3, **options).count() == 12
     assert len(list(tmp_path.iterdir())) == 4
+
+
+def test_cells_hold_the_last_of_repeated_ids(spark):
+    """A question beside the copy that does not count must not find its id there."""
+    rows = [("x", 1, [0.0, 0.0], "old"), ("x", 2, [9.0, 9.0], "last"), ("y", 1, [1.0, 1.0], "other")]
+    rows += [(f"far{i}", 1, [20.0 + i, 20.0], "far") for i in range(9)]
+    rows += [("z", 1, [0.1, 0.0], "was searchable"), ("z", 2, None, "is not")]
+    passages = spark.createDataFrame(rows, "id string, version int, embedding array<float>, content string")
+    asked = spark.createDataFrame([(1, "?", [0.0, 0.0])], "query_id int, input string, embedding array<float>")
+    options = {"k": 3, "fields": FIELDS, "last_by": ["version"]}
+    scanned = question_prompts(asked, passages, **options).first()["context"]
+    cells = fit_cells(passages, 2, 3, last_by=["version"])
+    found = question_prompts(asked, passages, cells=cells, **options).first()["context"]
+    assert [r["content"] for r in found] == ["other", "last", "far"] == [r["content"] for r in scanned]
