@@ -11,6 +11,8 @@ class CommonParams:
     env: str
     database: str
     catalog: str | None = None
+    # Not among the fixed ones: the format in which a job creates its tables.
+    table_format: str = "parquet"
 
 
 @dataclass(frozen=True, kw_only=True)

@@ -33,7 +33,8 @@ def _read(spark: SparkSession, params: CommonParams, table: str) -> DataFrame:
 
 
 def _write(spark: SparkSession, params: CommonParams, df: DataFrame, schema, table: str) -> None:
-    write_table(spark, df, schema, qualified_name(table, params.database, params.catalog))
+    name = qualified_name(table, params.database, params.catalog)
+    write_table(spark, df, schema, name, fmt=params.table_format)
 
 
 def captions_job(

@@ -253,6 +253,12 @@ FROM hits JOIN passages USING (id)""",
     "table_overwrite": """
 SELECT doc_id, lang, source, CASE WHEN lang = 'fr' THEN n_chars + 1 ELSE n_chars END AS n_chars
 FROM documents WHERE lang <> 'fr' OR n_chars > 500""",
+    "table_upsert": """
+SELECT doc_id, CASE WHEN lang = 'fr' AND n_chars < 300 THEN 'de' ELSE lang END AS lang, source,
+       CASE WHEN lang = 'fr' AND n_chars > 500 THEN n_chars + 1 ELSE n_chars END AS n_chars
+FROM documents
+UNION ALL SELECT -1 - doc_id, lang, source, n_chars FROM documents WHERE lang = 'de'""",
+    "table_by_catalog": "SELECT doc_id, lang, source, n_chars FROM documents",
     "rag_prompts": f"""{_RETRIEVAL}
 SELECT query_id, any_value(b.text) AS input, {_PROMPT} AS prompt
 FROM {_ANSWERABLE} GROUP BY query_id""",

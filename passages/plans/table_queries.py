@@ -38,7 +38,8 @@ from passages.schemas import FETCH_ERROR, PLAYLIST_PAGE
 from passages.sources.checkpoints import materialised, use_checkpoints
 from passages.sources.landing import captions_in_language, channel_videos, distinct_videos
 from passages.sources.spread import spread
-from passages.sources.tables import write_table
+from passages.sources.tables import read_table, write_table
+from passages.sources.upsert import upsert_table
 
 DIM = 64
 K = 5
@@ -451,26 +452,55 @@ def context_cells_repeated(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("query_id", F.col("rank").cast("bigint").alias("rank"), *FIELDS)
 
 
+DOCUMENT_ROWS = StructType(
+    [
+        StructField("doc_id", LongType()),
+        StructField("lang", StringType()),
+        StructField("source", StringType()),
+        StructField("n_chars", LongType()),
+    ]
+)
+
+
+def _new_table(spark: SparkSession, kind: str) -> tuple[str, str]:
+    """A name, and a folder for the data that all executors share."""
+    use_checkpoints(spark)
+    name = f"{kind}_{uuid4().hex}"
+    return name, f"{spark.sparkContext.getCheckpointDir()}/{name}"
+
+
 def table_overwrite(spark: SparkSession, folder: str) -> DataFrame:
     """Documents in a table by language, of which one language is written again, altered."""
-    use_checkpoints(spark)
-    name = f"overwritten_{uuid4().hex}"
-    path = f"{spark.sparkContext.getCheckpointDir()}/{name}"
+    name, path = _new_table(spark, "overwritten")
     docs = _table(spark, folder, "documents").select("lang", "doc_id", "source", "n_chars")
-    schema = StructType(
-        [
-            StructField("doc_id", LongType()),
-            StructField("lang", StringType()),
-            StructField("source", StringType()),
-            StructField("n_chars", LongType()),
-        ]
-    )
-    write_table(spark, docs, schema, name, partition_cols=["lang"], path=path)
+    write_table(spark, docs, DOCUMENT_ROWS, name, partition_cols=["lang"], path=path)
     altered = docs.where("lang = 'fr' AND n_chars > 500").withColumn("n_chars", F.col("n_chars") + 1)
-    write_table(spark, altered, schema, name, partition_cols=["lang"], path=path)
+    write_table(spark, altered, DOCUMENT_ROWS, name, partition_cols=["lang"], path=path)
     return spark.table(name).select("doc_id", "lang", "source", "n_chars")
 
 
+def table_upsert(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents in a table by language, of which some change, some move to another
+    language, and some are new."""
+    name, path = _new_table(spark, "upserted")
+    docs = _table(spark, folder, "documents").select("lang", "doc_id", "source", "n_chars")
+    where = {"keys": ["doc_id"], "partition_cols": ["lang"], "path": path}
+    upsert_table(spark, docs, DOCUMENT_ROWS, name, **where)
+    longer = docs.where("lang = 'fr' AND n_chars > 500").withColumn("n_chars", F.col("n_chars") + 1)
+    moved = docs.where("lang = 'fr' AND n_chars < 300").withColumn("lang", F.lit("de"))
+    new = docs.where("lang = 'de'").withColumn("doc_id", -1 - F.col("doc_id"))
+    upsert_table(spark, longer.unionByName(moved).unionByName(new), DOCUMENT_ROWS, name, **where)
+    return spark.table(name).select("doc_id", "lang", "source", "n_chars")
+
+
+def table_by_catalog(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents in a table of another format than the usual one, read by catalog and database."""
+    name, path = _new_table(spark, "named")
+    docs = _table(spark, folder, "documents")
+    write_table(spark, docs, DOCUMENT_ROWS, f"default.{name}", path=path, fmt="orc")
+    return read_table(spark, name, "default", "spark_catalog")
+
+
 def _prompts(spark: SparkSession, folder: str) -> DataFrame:
     found = contexts(_retrieved(spark, folder), FIELDS)
     return prompts(_questions(spark, folder), found)
@@ -555,6 +585,8 @@ QUERIES = {
     "context_repeated_ids": context_repeated_ids,
     "context_cells_repeated": context_cells_repeated,
     "table_overwrite": table_overwrite,
+    "table_upsert": table_upsert,
+    "table_by_catalog": table_by_catalog,
     "rag_prompts": rag_prompts,
     "rag_answers": rag_answers,
     "frame_diff": frame_diff_query,

@@ -16,7 +16,7 @@ from passages.params import (
 from passages.plans.answers import answer_questions
 from passages.plans.__main__ import main
 from passages.plans.jobs import answers_job, captions_job, chunk_job, embedding_job
-from passages.schemas import ANSWERS, CONTENT_CHUNKS_EMBEDDING, MISSING_TRANSCRIPTS
+from passages.schemas import ANSWERS, CONTENT, CONTENT_CHUNKS_EMBEDDING, MISSING_TRANSCRIPTS
 from passages.sources.landing import read_captions, read_playlist_pages
 from passages.sources.tables import table_info
 
@@ -137,6 +137,18 @@ def test_jobs_in_a_row(spark, tmp_path, golden):
     spark.sql("DROP DATABASE jobs CASCADE")
 
 
+def test_jobs_choose_the_format_of_their_tables(spark):
+    spark.sql("CREATE DATABASE IF NOT EXISTS formats")
+    common = {"env": "test", "database": "formats", "catalog": "spark_catalog", "table_format": "orc"}
+    rows = [("c", "v", "t", None, "one two three")]
+    spark.createDataFrame(rows, CONTENT).write.saveAsTable("formats.content")
+    chunk_job(spark, ChunkParams(**common, chunk_size=25, chunk_overlap=5))
+    assert table_info(spark, "formats.content_chunks").properties["provider"] == "orc"
+    assert spark.table("formats.content_chunks").first()["content"] == "one two three"
+    assert parse_params({**CONFIG, "chunk": common}).chunk.table_format == "orc"
+    spark.sql("DROP DATABASE formats CASCADE")
+
+
 def test_embedded_rows_keep_their_columns(spark):
     df = spark.range(3).withColumn("content", F.lit("a b"))
     assert add_lexical_embedding(df, 4).columns == ["id", "content", "embedding"]
