@@ -9,7 +9,6 @@ candidates is therefore measured again by the vectors themselves.
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -187,49 +186,97 @@ def read_codes(session: SparkSession, path: str) -> Codes:
     )
 
 
+def _in_buckets(rows: DataFrame, buckets: np.ndarray) -> DataFrame:
+    """``rows`` with their cell as ``own``, and the bucket of it in its place."""
+    plan = [(cell, bucket) for cell, bucket in enumerate(buckets.tolist())]
+    plan = F.broadcast(rows.sparkSession.createDataFrame(plan, "own int, cell int"))
+    return rows.withColumnRenamed("cell", "own").join(plan, "own")
+
+
+class _Nearest:
+    """The ``count`` least of each question's distances, of which parts come one by one."""
+
+    def __init__(self, questions: int, count: int):
+        self.count = count
+        self.cut = np.full(questions, np.inf)
+        self.parts: list[tuple[np.ndarray, ...]] = []
+        self.held = 0
+
+    def add(self, question: np.ndarray, column: np.ndarray, distances: np.ndarray) -> None:
+        """``distances`` of the questions, in rows, to the columns."""
+        last = self.cut[question]
+        if distances.shape[1] > self.count:
+            own = np.partition(distances, self.count - 1, axis=1)[:, self.count - 1]
+            last = np.minimum(last, own)
+        row, place = np.nonzero(distances <= last[:, None])
+        self.parts.append((question[row], column[place], distances[row, place]))
+        self.held += len(row)
+        if self.held > _TILE:
+            self.result()
+
+    def result(self) -> tuple[np.ndarray, ...]:
+        """Questions, columns and distances; of equal distances the first columns are kept."""
+        if not self.parts:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        question, column, distance = (np.concatenate(part) for part in zip(*self.parts, strict=True))
+        order = np.lexsort((column, distance, question))
+        order = order[nearest.leading(question[order], self.count)]
+        question, column, distance = question[order], column[order], distance[order]
+        full = np.bincount(question, minlength=len(self.cut)) >= self.count
+        worst = np.zeros(len(self.cut))
+        np.maximum.at(worst, question, distance)
+        self.cut = np.where(full, worst, self.cut)
+        self.parts, self.held = [(question, column, distance)], len(question)
+        return question, column, distance
+
+
 def _candidates(visits: DataFrame, codes: Codes, count: int, schema) -> DataFrame:
-    """The ``count`` codes of each block that lie nearest to each of its questions."""
-    centers, books = codes.cells.centers, codes.books
+    """The ``count`` codes of each block that lie nearest to each of its questions.
+
+    A block holds the codes of many small cells, or a part of a large one's, so that what a
+    question gets back does not grow with the cells it visits.
+    """
+    centers, books, sizes = codes.cells.centers, codes.books, codes.cells.sizes
     parts = len(books)
+    block_rows = max(1, BLOCK_BYTES // (4 * parts))
+    buckets = (np.cumsum(sizes) - sizes) // block_rows
     shared = visits.sparkSession.sparkContext.broadcast((centers, books))
-    left, right = in_blocks(visits, codes.rows, codes.cells.sizes, max(1, BLOCK_BYTES // (4 * parts)))
+    left, right = in_blocks(
+        _in_buckets(visits, buckets),
+        _in_buckets(codes.rows, buckets),
+        np.bincount(buckets, sizes).astype(np.int64),
+        block_rows,
+    )
 
     def score(asked: pa.Table, found: pa.Table) -> pa.Table:
         centers, books = shared.value
-        if not asked.num_rows or not found.num_rows:
-            none = [asked["query_id"][:0], found["id"][:0], pa.array([], pa.float64()), pa.array([], pa.int32())]
-            return pa.table(none, names)
         found = found.sort_by("id")  # equal codes count in order of the id
-        cell = asked["cell"][0].as_py()
-        wanted = nearest.matrix(asked["embedding"], centers.shape[1]) - centers[cell]
-        code = np.frombuffer(b"".join(found["code"].to_pylist()), np.uint8).reshape(-1, parts).T
-        most = min(count, code.shape[1])
-        rows, columns, sums = [], [], []
-        step = max(1, _TILE // max(code.shape[1], CODES))
-        bounds = [*range(0, len(wanted), step), len(wanted)]
-        for start, stop in pairwise(bounds):
-            total = np.zeros((stop - start, code.shape[1]))
-            for own, book, which in zip(_in_parts(wanted[start:stop], parts), books, code, strict=True):
-                total += nearest.squared_distances(own, book)[:, which]
-            last = np.partition(total, most - 1, axis=1)[:, most - 1 : most]
-            row, column = np.nonzero(total <= last)
-            best = np.lexsort((column, total[row, column], row))
-            best = best[nearest.leading(row[best], most)]
-            rows.append(row[best] + start)
-            columns.append(column[best])
-            sums.append(total[row[best], column[best]])
-        taken = pa.array(np.concatenate(columns))
+        code = np.frombuffer(b"".join(found["code"].to_pylist()), np.uint8).reshape(-1, parts)
+        cell_of, visited = found["own"].to_numpy(), asked["own"].to_numpy()
+        wanted = nearest.matrix(asked["embedding"], centers.shape[1]) - centers[visited]
+        named = asked["query_id"].combine_chunks().dictionary_encode()
+        question = named.indices.to_numpy()
+        best = _Nearest(len(named.dictionary), count)
+        for cell in np.intersect1d(visited, cell_of).tolist():
+            column, rows = np.flatnonzero(cell_of == cell), np.flatnonzero(visited == cell)
+            own = code[column].T
+            step = max(1, _TILE // max(len(column), CODES))
+            for some in np.split(rows, range(step, len(rows), step)):
+                total = np.zeros((len(some), len(column)))
+                for part, book, which in zip(_in_parts(wanted[some], parts), books, own, strict=True):
+                    total += nearest.squared_distances(part, book)[:, which]
+                best.add(question[some], column, total)
+        question, column, distance = best.result()
         return pa.table(
             [
-                asked["query_id"].take(pa.array(np.concatenate(rows))),
-                found["id"].take(taken),
-                pa.array(np.concatenate(sums)),
-                pa.array(np.full(len(taken), cell, np.int32)),
+                named.dictionary.take(pa.array(question)),
+                found["id"].combine_chunks().take(pa.array(column)),
+                pa.array(distance),
+                pa.array(cell_of[column], pa.int32()),
             ],
-            names,
+            ["query_id", "id", "distance", "cell"],
         )
 
-    names = ["query_id", "id", "distance", "cell"]
     keys = ["cell", "salt", "slice"]
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema.fields)
     return (
