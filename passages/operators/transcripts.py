@@ -45,7 +45,7 @@ def caption_text(
     return gathered.select(*keys, join_text(F.flatten("parts.part")).alias("content"))
 
 
-def _fetched(captions: DataFrame) -> DataFrame:
+def best_fetches(captions: DataFrame) -> DataFrame:
     """``video_id, transcript`` of the fetches that did not fail, one row per video.
 
     Of several landings of a video, the one with most captions counts, then the greatest.
@@ -59,7 +59,7 @@ def _fetched(captions: DataFrame) -> DataFrame:
 def video_transcripts(videos: DataFrame, captions: DataFrame) -> DataFrame:
     """Videos with their captions ``video_id, transcript``; those without a row, or with a
     failed fetch only, are left out. Captions landed twice count once."""
-    return videos.join(_fetched(captions), "video_id").select(
+    return videos.join(best_fetches(captions), "video_id").select(
         F.struct(*VIDEO_COLUMNS).alias("video"), "transcript"
     )
 

@@ -19,6 +19,10 @@ TRANSCRIPTS = """
 SELECT source AS channel_id, doc_id::VARCHAR AS video_id, lang AS title, turn, c.text AS caption
 FROM documents JOIN conversations c ON c.conv_id = doc_id"""
 
+WHOLE_CONTENT = f"""
+SELECT channel_id, video_id, title, string_agg(caption, ' ' ORDER BY turn) AS content
+FROM ({TRANSCRIPTS}) GROUP BY channel_id, video_id, title"""
+
 
 def _count(text: str) -> str:
     return f"len(regexp_extract_all({text}, {_quoted(PRETOKEN)}))"
@@ -209,9 +213,8 @@ FROM documents WHERE NOT EXISTS (FROM conversations WHERE conv_id = doc_id)""",
     "transcripts_flat": f"""
 SELECT channel_id, video_id, title, turn::DOUBLE AS start, caption AS text
 FROM ({TRANSCRIPTS})""",
-    "content": f"""
-SELECT channel_id, video_id, title, string_agg(caption, ' ' ORDER BY turn) AS content
-FROM ({TRANSCRIPTS}) GROUP BY channel_id, video_id, title""",
+    "content": WHOLE_CONTENT,
+    "content_from_stream": WHOLE_CONTENT,
     "content_from_captions": """
 SELECT conv_id::VARCHAR AS video_id, string_agg(text, ' ' ORDER BY turn) AS content
 FROM conversations GROUP BY conv_id""",

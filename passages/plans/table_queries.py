@@ -34,12 +34,14 @@ from passages.operators.transcripts import (
     transcript_content,
     video_transcripts,
 )
-from passages.schemas import FETCH_ERROR, PLAYLIST_PAGE
+from passages.params import CaptionsParams
+from passages.schemas import FETCH_ERROR, LANDED_CAPTIONS, PLAYLIST_PAGE
 from passages.sources.checkpoints import materialised, use_checkpoints
 from passages.sources.landing import captions_in_language, channel_videos, distinct_videos
 from passages.sources.spread import spread
 from passages.sources.tables import read_table, write_table
 from passages.sources.upsert import upsert_table
+from passages.streaming.landing import caption_stream, land_captions
 
 DIM = 64
 K = 5
@@ -239,6 +241,29 @@ def content_from_captions(spark: SparkSession, folder: str) -> DataFrame:
     return caption_text(_captions(spark, folder), ["video_id"], STRETCH_TURNS)
 
 
+def content_from_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """The content from captions that land in two drops: half of the videos and a shorter
+    fetch of the others, then all in full. The second drop repeats what it need not."""
+    name, path = _new_table(spark, "landed")
+    spark.sql(f"CREATE DATABASE {name} LOCATION '{path}/tables'")
+    params = CaptionsParams("test", name, channel_id="all", language="en")
+    nested = materialised(_nested_captions(spark, folder))
+    first = F.when(F.col("video_id").cast("long") % 2 == 0, F.col("transcript"))
+    first = first.otherwise(F.slice("transcript", 1, 1)).alias("transcript")
+    for drop in (nested.select("video_id", first), nested):
+        landed = drop.select(
+            "video_id",
+            F.lit("en").alias("language"),
+            "transcript",
+            F.lit(None).cast(LANDED_CAPTIONS["error"].dataType).alias("error"),
+        )
+        landed.write.mode("append").json(f"{path}/landed")
+        stream = caption_stream(spark, f"{path}/landed")
+        query = land_captions(params, stream, lambda s: _videos(s, folder), f"{path}/state")
+        query.awaitTermination()
+    return spark.table(f"{name}.content").select("channel_id", "video_id", "title", "content")
+
+
 def token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return _content(spark, folder).select(
         "video_id", pretoken_count(F.col("content")).cast("bigint").alias("n_tokens")
@@ -564,6 +589,7 @@ QUERIES = {
     "transcripts_flat": transcripts_flat,
     "content": content,
     "content_from_captions": content_from_captions,
+    "content_from_stream": content_from_stream,
     "token_counts": token_counts,
     "chunks_words": chunks_words,
     "chunks_tokens": chunks_tokens,
