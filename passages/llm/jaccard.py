@@ -33,7 +33,7 @@ from passages.llm.packed import (
     first_of_runs,
     flat,
     mix,
-    values_of,
+    word_hashes,
     word_spans,
 )
 from passages.llm.shared import saved, text_groups
@@ -73,7 +73,7 @@ def shingle_sets(texts: list[bytes], size: int) -> ShingleSets:
     data = text.data.copy()
     data[(data >= 65) & (data <= 90)] += 32
     starts, ends = word_spans(data)
-    words = mix(Hashes(values_of(BASE)[data], BASE).of(starts, ends))
+    words = word_hashes(data, starts, ends)
     first, last = np.searchsorted(starts, text.starts), np.searchsorted(starts, text.ends)
     n_words = last - first
     n = np.where(n_words >= size, n_words - size + 1, np.minimum(n_words, 1))

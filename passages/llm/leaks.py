@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from passages.llm.packed import BASE, Flat, Hashes, first_of_runs, flat, mix, values_of
+from passages.llm.packed import BASE, Flat, Hashes, first_of_runs, flat, mix, word_hashes
 from passages.llm.shared import saved
 
 K1, B = 1.2, 0.75
@@ -52,7 +52,7 @@ def terms_of(texts: list[bytes]) -> Terms:
     inside[1:-1] = ((data >= 97) & (data <= 122)) | ((data >= 48) & (data <= 57)) | (data >= 128)
     edges = np.flatnonzero(np.diff(inside))
     starts, ends = edges[0::2], edges[1::2]
-    hashes = mix(Hashes(values_of(BASE)[data], BASE).of(starts, ends))
+    hashes = word_hashes(data, starts, ends)
     return Terms(text, hashes, np.searchsorted(starts, text.starts), np.searchsorted(starts, text.ends))
 
 

@@ -1,12 +1,14 @@
 """Texts of a group as one array of bytes, and polynomial hashes of its substrings."""
 
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 
 MASK = (1 << 64) - 1
 BASE = 0x9E3779B97F4A7C15
 OTHER_BASE = 0xD1342543DE82EF95
+LONG_WORD = 32
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -63,6 +65,20 @@ class Hashes:
         return (self.prefix[length:] - self.prefix[:n]) * self.shift[:n]
 
 
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = BASE) -> np.ndarray:
+    """A hash of each word.
+
+    Polynomials modulo a power of two lose bits on long words of a regular build, whatever
+    the base, so words of more than ``LONG_WORD`` bytes have a digest instead.
+    """
+    hashes = mix(Hashes(values_of(base)[data], base).of(starts, ends))
+    key = base.to_bytes(8, "little")
+    for i in np.flatnonzero(ends - starts > LONG_WORD).tolist():
+        digest = blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8, key=key).digest()
+        hashes[i] = int.from_bytes(digest, "little")
+    return hashes
+
+
 def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the runs of bytes other than 0x20 and 0x09-0x0D."""
     space = np.ones(len(data) + 2, np.int8)

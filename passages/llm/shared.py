@@ -38,8 +38,8 @@ class TextGroups:
 def text_groups(docs: DataFrame, id_col: str, text_col: str) -> TextGroups:
     """Ids and texts of ``docs`` dealt by hash into groups of about ``GROUP_BYTES``.
 
-    The number of groups follows the size of all texts. A null text is an empty one.
-    Texts move through one shuffle and are then read from a bucketed table.
+    The number of groups follows the size of all texts. A null text is an empty one. Rows
+    repeated in full are dealt out by their place in the input, like any others. Texts move through one shuffle and are then read from a bucketed table.
     """
     docs = docs.select(
         F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
@@ -48,11 +48,13 @@ def text_groups(docs: DataFrame, id_col: str, text_col: str) -> TextGroups:
     cores = docs.sparkSession.sparkContext.defaultParallelism
     buckets = max(cores, -(-total // BUCKET_BYTES))
     groups = max(2 * buckets, -(-total // GROUP_BYTES))
-    rows = docs.withColumn("g", F.pmod(F.xxhash64("id", "text"), F.lit(groups)).cast("int"))
+    mixed = F.xxhash64("id", "text", F.monotonically_increasing_id())
+    rows = docs.withColumn("g", F.pmod(mixed, F.lit(groups)).cast("int"))
     name = f"texts_{uuid4().hex}"
     (
         rows.repartition(buckets, "g")
         .write.bucketBy(buckets, "g")
+        .format("parquet")
         .option("path", shared_path(docs))
         .option("compression", "zstd")
         .saveAsTable(name)

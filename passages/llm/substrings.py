@@ -20,7 +20,7 @@ from passages.llm.exchange import (
     sketch_pieces,
     table,
 )
-from passages.llm.packed import BASE, OTHER_BASE, Flat, Hashes, flat, mix, values_of, within, word_spans
+from passages.llm.packed import BASE, OTHER_BASE, Flat, Hashes, flat, mix, within, word_hashes, word_spans
 from passages.llm.shared import saved, text_groups
 
 # Bytes of a word with the white space after it, about; sets the size of the sketch.
@@ -38,7 +38,7 @@ class Words:
     last: np.ndarray
 
     def hashes(self, base: int) -> np.ndarray:
-        return mix(Hashes(values_of(base)[self.flat.data], base).of(self.starts, self.ends))
+        return word_hashes(self.flat.data, self.starts, self.ends, base)
 
 
 def words_of(texts: list[bytes]) -> Words:

@@ -8,6 +8,14 @@ SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 CLASHES = ("id", "g", "s", "n", "size", "slice", "hash", "key", "kept", "copies", "digest", "head", "__id")
 
 
+def _regular_words():
+    """Two words of 1,024 letters that polynomials modulo a power of two cannot tell apart."""
+    word = "a"
+    while len(word) < 1024:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
 @pytest.fixture(scope="session")
 def docs_of(spark):
     """Documents from ``(doc_id, text)`` or ``(doc_id, text, source)``, with clashing columns."""

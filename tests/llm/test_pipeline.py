@@ -6,6 +6,7 @@ import pytest
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 
 import corpus_pipeline  # noqa: E402
+from passages.llm.mixing import with_copies  # noqa: E402
 
 from .test_jaccard import expected as near  # noqa: E402
 
@@ -56,5 +57,13 @@ def test_stages_on_documents(spark):
     toxic = {r["doc_id"] for r in spark.read.parquet(f"{FOLDER}/labels.parquet").where("toxic = 1").collect()}
     kept = ids(stages["toxicity"](spark, docs, str(FOLDER)))
     assert len(set(rows) - toxic - set(kept)) <= 0.1 * len(rows)
+    mix = stages["mixing"](spark, docs, str(FOLDER))
+    found = {}
+    for r in mix.collect():
+        found.setdefault((r["doc_id"], r["copies"]), []).append(r["copy"])
+    assert all(sorted(numbers) == list(range(1, copies + 1)) for (_, copies), numbers in found.items())
+    taken = with_copies(docs).where("copies > 0").select("doc_id", "copies").collect()
+    assert sorted(found) == sorted((r["doc_id"], r["copies"]) for r in taken) and len(found) < len(rows)
     result = corpus_pipeline.run(spark, str(FOLDER))
-    assert 0 < result.count() < len(rows)
+    assert result.select("doc_id").distinct().count() < len(rows)
+    assert 0 < result.count() <= 3 * len(rows)
