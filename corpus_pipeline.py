@@ -44,8 +44,12 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with the copies that the mix of sources takes of each, none included."""
-    return with_copies(docs)
+    """The mixed corpus: each document as often as the mix takes it, numbered by ``copy``.
+
+    Documents that the mix leaves out are gone; none stands more than three times.
+    """
+    taken = with_copies(docs).where("copies > 0")
+    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
 
 
 STAGES = [
