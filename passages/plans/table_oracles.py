@@ -250,8 +250,11 @@ SELECT query_id, rank, id, video_id, title, content FROM hits JOIN passages USIN
     "context_repeated_ids": f"""{_RETRIEVAL}
 SELECT query_id, rank, id, video_id, title, content || {_quoted(LATER)} AS content
 FROM hits JOIN passages USING (id)""",
-    "context_cells_repeated": f"""{_retrieval("list_reverse(p.v)")}
-SELECT query_id, rank, id, video_id, title, content || {_quoted(LATER)} AS content
+    "context_cells_repeated": f"""{_retrieval(
+        "CASE WHEN id IN (SELECT id FROM passages WHERE title = 'fr') THEN list_reverse(p.v) ELSE p.v END"
+    )}
+SELECT query_id, rank, id, video_id, title,
+       CASE WHEN title = 'fr' THEN content || {_quoted(LATER)} ELSE content END AS content
 FROM hits JOIN passages USING (id)""",
     "table_overwrite": """
 SELECT doc_id, lang, source, CASE WHEN lang = 'fr' THEN n_chars + 1 ELSE n_chars END AS n_chars

@@ -465,13 +465,13 @@ def context_repeated_ids(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def context_cells_repeated(spark: SparkSession, folder: str) -> DataFrame:
-    """The same by cells, with later copies that also have another vector."""
-    first = materialised(_vectors(spark, folder).select(*FIELDS, "embedding"))
-    later = first.withColumns(
+    """The same by cells; passages in one language have later copies, with another vector."""
+    first = _vectors(spark, folder).select(*FIELDS, "embedding")
+    later = first.where("title = 'fr'").withColumns(
         {"content": F.concat("content", F.lit(LATER)), "embedding": F.reverse("embedding")}
     )
     passages = first.withColumn("version", F.lit(0)).unionByName(later.withColumn("version", F.lit(1)))
-    cells = fit_cells(passages, DIM, last_by=["version"])
+    cells = fit_cells(passages.select("id", "embedding", "version"), DIM, last_by=["version"])
     hits = nearest_passages(_questions(spark, folder), passages, K, cells=cells)
     rows = retrieved(hits, passages, FIELDS, ["version"])
     return rows.select("query_id", F.col("rank").cast("bigint").alias("rank"), *FIELDS)
