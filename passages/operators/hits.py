@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 
 def hit_schema(questions: DataFrame, vectors: DataFrame) -> StructType:
@@ -15,6 +15,10 @@ def hit_schema(questions: DataFrame, vectors: DataFrame) -> StructType:
     )
 
 
+def rank_schema(hits: StructType) -> StructType:
+    return StructType([*hits.fields, StructField("rank", IntegerType())])
+
+
 # Tasks' hits of a question meet in so many places first.
 MERGES = 64
 

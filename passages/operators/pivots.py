@@ -13,11 +13,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType
 
 from passages.operators import nearest
 from passages.operators.embedding import valid_embeddings
-from passages.operators.hits import hit_schema, ranked
+from passages.operators.hits import hit_schema, rank_schema, ranked
 from passages.sources.checkpoints import materialised
 
 # Vectors that serve as pivots, and bytes of them, which go to every task.
@@ -151,7 +150,7 @@ def join_nearest(
     asked = finite_vectors(questions.select("query_id", "embedding"), dim)
     sample = choose_pivots(vectors, dim, pivots)
     if not len(sample):
-        return vectors.sparkSession.createDataFrame([], schema.add("rank", IntegerType()))
+        return vectors.sparkSession.createDataFrame([], rank_schema(schema))
     asked = materialised(asked)
     # Some cells per block, so that blocks are compact; few blocks, so that copies are few.
     n_cells = min(len(sample), -(-CELLS_PER_BLOCK * asked.count() // block_questions) or 1)

@@ -1,6 +1,7 @@
 """The k nearest vectors of each question, exact, for few or for many questions."""
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -12,11 +13,14 @@ from pyspark.sql.types import StructType
 from passages.operators import nearest
 from passages.operators.cells import Cells, search_cells
 from passages.operators.embedding import valid_embeddings
-from passages.operators.hits import hit_schema, ranked
+from passages.operators.hits import hit_schema, rank_schema, ranked
+from passages.operators.pivots import join_nearest
 from passages.sources.checkpoints import materialised
 
 # Questions go to every task in blocks of this size, which also bounds a task's hits.
 BROADCAST_BYTES = 32 << 20
+# Scans of the vectors from which on a join is made instead.
+MOST_SCANS = 8
 # What a hit takes in a task, besides its id.
 HIT_BYTES = 64
 
@@ -80,8 +84,9 @@ def nearest_passages(
 
     ``questions(query_id, embedding)`` and ``vectors(id, embedding)`` have unique ids.
     Questions go to every task of a scan of the vectors, in as many blocks, and so scans,
-    as their measured size and that of their hits ask for; vectors are not shuffled. A
-    question finds the vectors of its own length; null vectors and those with numbers
+    as their measured size and that of their hits ask for; vectors are not shuffled. Where
+    that would be more than ``MOST_SCANS`` scans, both sides are dealt into blocks instead
+    (``join_nearest``), with the same result, and no question reaches the driver. A question finds the vectors of its own length; null vectors and those with numbers
     that are not finite find nothing and are not found (``unsearchable`` lists them).
 
     With ``cells``, questions meet the vectors of the cells instead, with the same result
@@ -110,6 +115,11 @@ def nearest_passages(
     ).first()
     wanted = max((size["bytes"] or 0) + size["n"] * k * HIT_BYTES, 1)
     blocks = max(1, min(-(-wanted // max(broadcast_bytes, 1)), size["n"]))
+    if blocks > MOST_SCANS:
+        # As many lengths as there are models.
+        dims = [r[0] for r in questions.select(F.size("embedding")).distinct().collect() if r[0]]
+        found = [join_nearest(questions, vectors, dim, k) for dim in dims]
+        return reduce(DataFrame.unionByName, found, questions.sparkSession.createDataFrame([], rank_schema(schema)))
     found = None
     for block in range(blocks):
         part = questions

@@ -274,6 +274,17 @@ SELECT query_id, any_value(b.text) AS input, count(*) AS n_context,
        length({_PROMPT}) || ' characters' AS answer
 FROM {_ANSWERABLE} GROUP BY query_id""",
     "frame_diff": f"{_excess(_LEFT, _RIGHT, 'left')} UNION ALL {_excess(_RIGHT, _LEFT, 'right')}",
+    "keyed_diff": """
+WITH other AS (
+  SELECT doc_id, lang, source,
+         CASE WHEN source = 'src1' AND lang = 'fr' THEN -n_chars ELSE n_chars END AS n_chars
+  FROM documents),
+shorter AS (SELECT * FROM other WHERE n_chars < 0 OR n_chars > 100)
+SELECT *, 'left' AS side, 1::BIGINT AS copies
+FROM (SELECT doc_id, lang, source, n_chars FROM documents EXCEPT ALL SELECT * FROM shorter)
+UNION ALL
+SELECT *, 'right', 1
+FROM (SELECT * FROM shorter EXCEPT ALL SELECT doc_id, lang, source, n_chars FROM documents)""",
     "sorted_nulls_last": f"""
 SELECT * FROM ({_WITH_NULLS})
 ORDER BY lang NULLS LAST, source NULLS LAST, doc_id NULLS LAST""",

@@ -23,6 +23,7 @@ from passages.operators.embedding import (
     failed_embeddings,
     lexical_model,
 )
+from passages.operators.fingerprints import keyed_diff
 from passages.operators.pivots import join_nearest
 from passages.operators.prompts import add_answer, prompts
 from passages.operators.search import nearest_passages
@@ -565,6 +566,16 @@ def frame_diff_query(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def keyed_diff_query(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents compared with a copy in which those of one source and language have
+    other lengths, and of which short ones are gone."""
+    left = _table(spark, folder, "documents").select("doc_id", "lang", "source", "n_chars")
+    altered = (F.col("source") == "src1") & (F.col("lang") == "fr")
+    right = left.withColumn("n_chars", F.when(altered, -F.col("n_chars")).otherwise(F.col("n_chars")))
+    found = keyed_diff(left, right.where("n_chars < 0 OR n_chars > 100"), ["doc_id"])
+    return found.withColumn("copies", F.col("copies").cast("bigint"))
+
+
 def _with_nulls(spark: SparkSession, folder: str) -> DataFrame:
     return _table(spark, folder, "documents").select(
         F.nullif("lang", F.lit("en")).alias("lang"), "source", "doc_id"
@@ -616,6 +627,7 @@ QUERIES = {
     "rag_prompts": rag_prompts,
     "rag_answers": rag_answers,
     "frame_diff": frame_diff_query,
+    "keyed_diff": keyed_diff_query,
     "sorted_nulls_last": sorted_nulls_last,
     "row_index": row_index,
 }

@@ -4,7 +4,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from passages.operators import cells, context, hits, nearest
+from passages.operators import cells, context, hits, nearest, search
 from passages.operators.cells import fit_cells, read_cells, search_cells, write_cells
 from passages.operators.context import contexts, last_of_repeated, repeated_ids, retrieved
 from passages.operators.embedding import add_embedding
@@ -333,3 +333,17 @@ def test_cells_hold_the_last_of_repeated_ids(spark):
     cells = fit_cells(passages, 2, 3, last_by=["version"])
     found = question_prompts(asked, passages, cells=cells, **options).first()["context"]
     assert [r["content"] for r in found] == ["other", "last", "far"] == [r["content"] for r in scanned]
+
+
+def test_very_many_questions_are_joined(spark, grid, monkeypatch):
+    """Beyond some scans no question reaches the driver, whatever lengths they have."""
+    monkeypatch.setattr(search, "scan_nearest", None)
+    query_ids, questions, ids, vectors = grid
+    asked = [*questions.tolist(), [1.0, 2.0], None]
+    found = [*vectors.tolist(), [0.0, 0.0], [float("nan")] * 3]
+    frames = (
+        _frame(spark, "query_id", [*query_ids, 98, 99], asked),
+        _frame(spark, "id", [*ids, "short", "missing"], found),
+    )
+    wanted = sorted([*brute_force(*grid, 5), (98, "short", 5.0, 1)])
+    assert _rows(nearest_passages(*frames, 5, broadcast_bytes=200)) == wanted
