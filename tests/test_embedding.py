@@ -7,6 +7,7 @@ from pyspark import cloudpickle
 from pyspark.errors import PythonException
 
 from passages.operators.embedding import (
+    _call,
     add_embedding,
     add_lexical_embedding,
     failed_embeddings,
@@ -110,3 +111,20 @@ def test_valid_embeddings(spark):
         [(1, [1.0, 2.0]), (2, None), (3, [1.0]), (4, [])], "id int, embedding array<float>"
     )
     assert [r["id"] for r in valid_embeddings(df, 2).collect()] == [1]
+
+
+def test_failed_calls_are_narrowed_down_by_halves():
+    texts = [f"t{i}" for i in range(128)]
+    for refused in ([], ["t5"], ["t0", "t127"], texts):
+        calls = []
+
+        def model(asked, refused=refused, calls=calls):
+            calls.append(len(asked))
+            if set(asked) & set(refused):
+                raise ValueError
+            return [[1.0]] * len(asked)
+
+        found = _call(model, texts, True)
+        assert [v is None for v in found] == [t in refused for t in texts]
+        assert len(calls) <= 1 + 2 * 7 * len(refused)
+    assert _call(model, texts, False) == [None] * 128  # not made again unless asked to
