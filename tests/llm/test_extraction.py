@@ -1,6 +1,6 @@
 import pytest
 
-from passages.llm.extraction import extract, main_text, tokens
+from passages.llm.extraction import Template, extract, main_text, templates, tokens
 
 
 def page(n, article, extra="", host="h.example"):
@@ -91,3 +91,61 @@ def test_names_that_say_what_a_page_has(spark):
     frame = spark.createDataFrame(rows, "page_id long, url string, html string")
     found = {r["id"]: r["text"] for r in extract(frame).collect()}
     assert found == {n: f"T{n}\nThe text of page {n}, which differs {n}." for n in range(6)}
+
+
+def _found(spark, pages):
+    rows = [(n, f"https://t.example/{n}", html) for n, html in enumerate(pages)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    return {r["id"]: r["text"] for r in extract(frame).collect()}
+
+
+def test_texts_of_the_template_are_no_values(spark):
+    said = "Some words of page {0}, which no other page has {0}."
+    pages = [
+        f"<body><div class='x1'><div class='x2'><h4>Same on all</h4><p>{said.format(n)}</p><p>It ends.</p></div>"
+        f"<p>{said.format(-n - 1)} And as much again {n}.</p></div></body>"
+        for n in range(6)
+    ]
+    # A value that is alike on all pages stays where the element is one of a list.
+    assert _found(spark, pages) == {
+        n: f"{said.format(n)}\nIt ends.\n{said.format(-n - 1)} And as much again {n}." for n in range(6)
+    }
+    # Copies of one page are no evidence of a template.
+    assert _found(spark, pages[:1] * 6 + pages[1:2]) [0].startswith("Same on all\nSome words of page 0")
+
+
+def test_texts_of_a_class_that_repeats(spark):
+    row = "<div class='entry'><div class='by'>written by</div><p>Line {0} of {1} here.</p><p>x{0}{1}</p></div>"
+    pages = [f"<body><main>{''.join(row.format(i, n) for i in range(n % 3 + 2))}</main></body>" for n in range(7)]
+    assert _found(spark, pages) == {
+        n: "\n".join(f"Line {i} of {n} here.\nx{i}{n}" for i in range(n % 3 + 2)) for n in range(7)
+    }
+
+
+def test_tokens_of_one_path_are_told_apart_by_their_slot(spark):
+    # One <div> before the heading and one after it: the path alone is twice on each page.
+    pages = [
+        f"<body><div><h5>Our rules</h5></div><h1>T{n}</h1><div><p>One {n}.</p><p>Two {n}, longer.</p></div></body>"
+        for n in range(6)
+    ]
+    assert _found(spark, pages) == {n: f"T{n}\nOne {n}.\nTwo {n}, longer." for n in range(6)}
+
+
+def test_tokens_that_change_places_are_given_up(spark):
+    blocks = ["<div class='a'><h6>Left</h6></div>", "<div class='b'><h6>Right</h6></div>"]
+    pages = [
+        f"<body><main><h1>T{n}</h1>{''.join(blocks[:: 1 if n % 2 else -1])}<p>Text {n}.</p><p>More {n}.</p></main></body>"
+        for n in range(6)
+    ]
+    rows = [("h", n, html) for n, html in enumerate(pages)]
+    known = templates(spark.createDataFrame(rows, "host string, key long, html string")).collect()[0]
+    anchors = [a["role"] for a in sorted(known["anchors"], key=lambda a: a["rank"])]
+    assert len({"/body/main/div.a", "/body/main/div.b"} & set(anchors)) < 2
+    assert {"/body", "/body/main", "/body/main/h1"} <= set(anchors)
+
+
+def test_anchors_give_roles_by_slot():
+    template = Template([{"role": "/body", "level": 0, "class": 1, "rank": 0}, {"role": "/body/h1", "level": 0, "class": 1, "rank": 1}], rounds=1)
+    found = tokens("<body><p>a</p><h1>b</h1><p>c</p><p>d</p></body>", template)
+    assert sorted(e[0] for r, e in found.items() if r.startswith("/body/p @") and e[6] is None) == [1, 2]
+    assert [e[5] for e in tokens("<h1>x</h1>", template).values()] == [False, False]
