@@ -77,10 +77,11 @@ def upsert_table(
     # Staged, as the write replaces the files that are read here.
     merged = materialised(kept.unionByName(changes))
     write_table(spark, merged, schema, table, "overwrite", partition_cols, path, fmt)
-    if partition_cols:
+    # Keys that hold the partition columns leave no partition without rows.
+    if partition_cols and not set(partition_cols) <= set(keys):
         left = merged.select(*partition_cols).distinct().alias("m")
         emptied = touched.alias("t").join(left, _same("t", "m", partition_cols), "left_anti")
-        _empty(spark, table, emptied, partition_cols)
+        _empty(spark, table, materialised(emptied).coalesce(1), partition_cols)
 
 
 def _empty(spark: SparkSession, table: str, partitions: DataFrame, columns: list[str]) -> None:

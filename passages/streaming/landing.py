@@ -1,6 +1,7 @@
 """Captions that keep landing: tables that grow with each drop of files, as one batch would fill them."""
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,6 +58,19 @@ def new_captions(captions: DataFrame, language: str, delay: str = DELAY) -> Data
     )
 
 
+@contextmanager
+def _adaptive(spark: SparkSession) -> Iterator[None]:
+    """Adaptive execution, which a stream turns off in its session, for the batch jobs inside it:
+    without it rows of a partition do not meet before a write, and every task writes files to all."""
+    key = "spark.sql.adaptive.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def add_captions(
     spark: SparkSession,
     params: CaptionsParams,
@@ -79,24 +93,26 @@ def add_captions(
 
     part = F.pmod(F.xxhash64("video_id"), F.lit(parts)).cast("int").alias("part")
     fresh = materialised(captions.select("video_id", "transcript", part))
-    stored = fresh.limit(0)
-    if spark.catalog.tableExists(name(FETCHED)):
-        reached = [row["part"] for row in fresh.select("part").distinct().collect()]  # of PARTS
-        stored = spark.table(name(FETCHED)).where(F.col("part").isin(reached))
-        stored = stored.join(fresh.select("video_id").distinct(), "video_id", "left_semi")
-    best = best_fetches(fresh.unionByName(stored.select(*fresh.columns)))
-    best = materialised(best.select("video_id", "transcript", part))
-    fmt = params.table_format
-    upsert_table(
-        spark, best, FETCHED_CAPTIONS, name(FETCHED), ["part", "video_id"], ["part"], fmt=fmt
-    )
-    of_known = materialised(video_transcripts(videos, best))
-    for rows, schema, table in (
-        (flatten_transcripts(of_known), TRANSCRIPTS, "transcripts"),
-        (transcript_content(of_known), CONTENT, "content"),
-    ):
-        keys = ["channel_id", "video_id"]
-        upsert_table(spark, rows, schema, name(table), keys, ["channel_id"], fmt=fmt)
+    # What the stream itself computes is planned without it, and done by now.
+    with _adaptive(spark):
+        stored = fresh.limit(0)
+        if spark.catalog.tableExists(name(FETCHED)):
+            reached = [row["part"] for row in fresh.select("part").distinct().collect()]  # of PARTS
+            stored = spark.table(name(FETCHED)).where(F.col("part").isin(reached))
+            stored = stored.join(fresh.select("video_id").distinct(), "video_id", "left_semi")
+        best = best_fetches(fresh.unionByName(stored.select(*fresh.columns)))
+        best = materialised(best.select("video_id", "transcript", part))
+        fmt = params.table_format
+        upsert_table(
+            spark, best, FETCHED_CAPTIONS, name(FETCHED), ["part", "video_id"], ["part"], fmt=fmt
+        )
+        of_known = materialised(video_transcripts(videos, best))
+        for rows, schema, table in (
+            (flatten_transcripts(of_known), TRANSCRIPTS, "transcripts"),
+            (transcript_content(of_known), CONTENT, "content"),
+        ):
+            keys = ["channel_id", "video_id"]
+            upsert_table(spark, rows, schema, name(table), keys, ["channel_id"], fmt=fmt)
 
 
 def land_captions(

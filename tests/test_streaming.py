@@ -131,3 +131,17 @@ def test_a_replayed_batch_changes_no_row(spark, folder):
     add_captions(spark, _params(database), read(spark), batch, 4)
     add_captions(spark, _params(database), read(spark), batch.limit(0), 4)
     assert _tables(spark, database) == before
+
+
+def test_a_drop_writes_few_files(spark, folder):
+    database = _database(spark, "few_files")
+    _drop(folder, "many.json", [_landed(f"v{n}", f"text {n}") for n in range(400)])
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        _run(spark, folder, database, "state")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    stored = spark.table(f"{database}.{landing.FETCHED}")
+    # One file per part, not one per part and task.
+    assert stored.count() == 400 and len(stored.inputFiles()) == 4
