@@ -3,6 +3,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from passages.operators import cells, context, hits, nearest, search
 from passages.operators.cells import fit_cells, read_cells, search_cells, write_cells
@@ -347,3 +348,46 @@ def test_very_many_questions_are_joined(spark, grid, monkeypatch):
     )
     wanted = sorted([*brute_force(*grid, 5), (98, "short", 5.0, 1)])
     assert _rows(nearest_passages(*frames, 5, broadcast_bytes=200)) == wanted
+
+
+def test_cells_meet_in_groups_and_give_the_best_of_a_group(spark, grid, monkeypatch):
+    query_ids, questions, ids, vectors = grid
+    fitted = fit_cells(_frame(spark, "id", ids, vectors), len(questions[-1]), n_cells=8)
+    monkeypatch.setattr(cells, "BLOCK_BYTES", 4 * len(questions[-1]) * (len(ids) // 3 + 1))
+    asked = _frame(spark, "query_id", query_ids, questions)
+    found = nearest_passages(asked, _frame(spark, "id", ids, vectors), 3, cells=fitted).collect()
+    scan = nearest_passages(asked, _frame(spark, "id", ids, vectors), 3).collect()
+    assert sorted(map(tuple, found)) == sorted(map(tuple, scan))
+    # A question is copied once per group, not once per cell, and has k hits of each at most.
+    counts = {cell: len(query_ids) for cell in np.flatnonzero(fitted.sizes).tolist()}
+    plan = cells._groups(counts, fitted.sizes, len(query_ids), len(ids) // 3 + 1)
+    blocks = sum(salts for _, salts in {(group, salts) for _, group, salts, _ in plan})
+    assert 1 < len({group for _, group, _, _ in plan}) < len(plan)
+    schema = hit_schema(asked, fitted.vectors)
+    visits = asked.select("query_id", "embedding", F.lit(float("inf")).alias("bound"))
+    visits = cells.with_cells(visits, fitted, len(fitted.sizes), rest=False)
+    met = cells._meet(visits, fitted, 3, schema)
+    assert met.groupBy("query_id").count().agg(F.max("count")).first()[0] <= 3 * blocks
+
+
+def test_centres_are_fitted_on_a_bounded_number_of_vectors(spark, monkeypatch):
+    monkeypatch.setattr(cells, "FIT_ROWS", 4)
+    seen = []
+
+    class Watched(cells.KMeans):
+        def fit(self, rows):
+            seen.append(rows.count())
+            return super().fit(rows)
+
+    monkeypatch.setattr(cells, "KMeans", Watched)
+    vectors = np.random.default_rng(5).normal(size=(2000, 3)).astype(np.float32)
+    fitted = fit_cells(_frame(spark, "id", range(2000), vectors), 3, n_cells=20)
+    assert 20 <= seen[0] <= 160 and fitted.vectors.count() == fitted.sizes.sum() == 2000
+
+
+def test_the_last_of_repeated_rows_keeps_the_order_of_columns(spark):
+    rows = [("a", 1, "x", [1.0]), ("a", 2, "b", [2.0]), ("a", 2, "c", [0.0]), ("b", None, "y", None), (None, 1, "n", None)]
+    frame = spark.createDataFrame(rows, "id string, version int, content string, embedding array<float>")
+    last = last_of_repeated(frame.select("content", "id", "embedding", "version"), ["version"])
+    assert last.columns == ["content", "id", "embedding", "version"]
+    assert sorted(map(tuple, last.where("id is not null").collect())) == [("c", "a", [0.0], 2), ("y", "b", None, None)]
